@@ -263,7 +263,7 @@ def with_units(cells: DataFrame, trace_rows: DataFrame, file_metadata: DataFrame
         F.arrays_zip("start_us", "start_row", "unit"),
         lambda s: (s["start_us"] < F.col("us")) | ((s["start_us"] == F.col("us")) & (s["start_row"] <= F.col("row_idx"))),
     )
-    unit = F.when(F.size("unit") == 1, F.col("unit")[0]).otherwise(F.coalesce(F.element_at(begun, -1)["unit"], F.col("unit")[0]))
+    unit = F.when(F.size("unit") == 1, F.col("unit")[0]).otherwise(F.coalesce(F.try_element_at(begun, F.lit(-1))["unit"], F.col("unit")[0]))
     joined = cells.join(starts.hint("shuffle_hash"), ["trace_id", "chunk"])
     return joined.withColumn("unit_no", unit.cast("int")).drop("start_us", "start_row", "unit")
 
