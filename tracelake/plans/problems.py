@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.operators import drift, grid, rawlines, spikes, units
+from tracelake.operators import drift, grid, rawlines, spikes, stamps, units
 from tracelake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,8 @@ def queries() -> dict[str, Query]:
         "p5_found": _on(_LINES, rawlines.rejected_lines),
         "p5_rows": _on(_LINES, rawlines.valid_rows),
         "p5_counts": _on(_LINES, rawlines.usable_counts),
+        "p6_found": _on("reading_stamps file_metadata loggers", stamps.reading_instants),
+        "p6_stamps": _on("reading_stamps file_metadata loggers", stamps.normalised_stamps),
     }
 
 
