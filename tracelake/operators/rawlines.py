@@ -77,7 +77,7 @@ def file_plans(raw_lines: DataFrame, file_metadata: DataFrame, raw_traces: DataF
     sensor's; for a name the catalog lacks it is the type most of its values have in raw_traces, X if it has none.
     """
     files = file_metadata.filter(F.col("source_file").isNotNull()).groupBy("source_file").agg(F.min("header_row_index").alias("header_no"))
-    headers = raw_lines.join(files, "source_file").filter(F.col("line_no") == F.col("header_no"))
+    headers = raw_lines.select("source_file", "line_no", "line_text").join(files, "source_file").filter(F.col("line_no") == F.col("header_no"))
     headers = headers.groupBy("source_file", "header_no").agg(F.min("line_text").alias("header"))
     traces = raw_traces.filter(F.col("source_file").isNotNull()).groupBy("source_file").agg(F.first("column_names", True).alias("names"))
     known = headers.join(traces, "source_file", "left").filter(F.col("header").isNotNull())

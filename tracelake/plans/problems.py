@@ -41,4 +41,14 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of what SQL can express on whole tables; tests hold the others against brute force."""
+    return {
+        "p1_found": """
+            WITH r AS (SELECT trace_id, row_idx, epoch_us(ts) AS us, sample_interval_seconds AS si, temperature_c_raw AS v FROM trace_rows WHERE trace_id IS NOT NULL AND ts IS NOT NULL),
+            p AS (SELECT trace_id, arg_min(us, row_idx) AS t0 FROM r GROUP BY trace_id),
+            m AS (SELECT trace_id, arg_max(si, (n, -si)) AS s FROM (SELECT trace_id, si, count(*) AS n FROM r WHERE si > 0 AND NOT isnan(si) GROUP BY trace_id, si) q GROUP BY trace_id),
+            x AS (SELECT r.trace_id, CAST(floor((us - t0) / 1e6 / s + 0.5) AS BIGINT) AS slot, coalesce(isfinite(v), false) AS has FROM r JOIN p ON p.trace_id = r.trace_id JOIN m ON m.trace_id = r.trace_id),
+            b AS (SELECT trace_id, min(slot) AS lo, max(slot) AS hi FROM x GROUP BY trace_id),
+            g AS (SELECT trace_id, unnest(range(lo, hi + 1)) AS slot FROM b)
+            SELECT g.trace_id, g.slot FROM g LEFT JOIN (SELECT DISTINCT trace_id, slot FROM x WHERE has) o ON o.trace_id = g.trace_id AND o.slot = g.slot WHERE o.slot IS NULL""",
+    }
