@@ -12,15 +12,15 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 32
-START, PLAIN, QUOTED, CLOSED, STRAY_QUOTE, AFTER_QUOTE = range(6)
+START, PLAIN, QUOTED, CLOSED, TRAILED, STRAY_QUOTE, AFTER_QUOTE = range(7)
 OTHER, QUOTE, DELIMITER, BLANK = range(4)
-#: next state by [byte class, state]; a blank after a closing quote is let pass, the two last states are errors and stay.
+#: next state by [byte class, state]; blanks after a closing quote are let pass, the two last states are errors and stay.
 TRANSITION = np.array(
     [
-        [PLAIN, PLAIN, QUOTED, AFTER_QUOTE, STRAY_QUOTE, AFTER_QUOTE],
-        [QUOTED, STRAY_QUOTE, CLOSED, QUOTED, STRAY_QUOTE, AFTER_QUOTE],
-        [START, START, QUOTED, START, STRAY_QUOTE, AFTER_QUOTE],
-        [PLAIN, PLAIN, QUOTED, CLOSED, STRAY_QUOTE, AFTER_QUOTE],
+        [PLAIN, PLAIN, QUOTED, AFTER_QUOTE, AFTER_QUOTE, STRAY_QUOTE, AFTER_QUOTE],
+        [QUOTED, STRAY_QUOTE, CLOSED, QUOTED, AFTER_QUOTE, STRAY_QUOTE, AFTER_QUOTE],
+        [START, START, QUOTED, START, START, STRAY_QUOTE, AFTER_QUOTE],
+        [PLAIN, PLAIN, QUOTED, TRAILED, TRAILED, STRAY_QUOTE, AFTER_QUOTE],
     ],
     dtype=np.int8,
 )
@@ -53,7 +53,7 @@ class Lines:
         open_quote = last == QUOTED
         self.error_at[open_quote & (self.error_at < 0)] = lengths[open_quote & (self.error_at < 0)]
         self.broken = self.error_at >= 0
-        self.parting = (kind == DELIMITER) & ((self.before == START) | (self.before == PLAIN) | (self.before == CLOSED))
+        self.parting = (kind == DELIMITER) & (self.before != QUOTED) & (self.before < STRAY_QUOTE)
         counted = np.concatenate([[0], np.cumsum(self.parting)])
         self.fields = counted[self.bounds[1:]] - counted[self.bounds[:-1]] + 1
 
@@ -94,7 +94,8 @@ class Lines:
         """All cells of the chosen lines one after the other, quotes resolved, and how many each line has."""
         lengths = np.diff(self.bounds)
         own = np.repeat(chosen, lengths)
-        dropped = self.parting | ((self.kind == QUOTE) & ((self.before == START) | (self.before == QUOTED)))
+        quotes = (self.kind == QUOTE) & ((self.before == START) | (self.before == QUOTED))
+        dropped = self.parting | quotes | ((self.kind == BLANK) & ((self.before == CLOSED) | (self.before == TRAILED)))
         kept = own & ~dropped
         running = np.concatenate([[0], np.cumsum(kept)])
         ends = np.sort(np.concatenate([np.flatnonzero(self.parting & own), self.bounds[1:][chosen]]))

@@ -72,26 +72,31 @@ def jump_costs(before: np.ndarray, after: np.ndarray, scale: np.ndarray, informa
     return cost + CHANGE * (1 - np.eye(N))[None]
 
 
+def changes(seconds: np.ndarray, values: np.ndarray, interval: float) -> tuple[np.ndarray, np.ndarray]:
+    """Readings at which the unit may change, and the cost [k, a, b] of going from a to b there.
+
+    These are all level shifts that can be seen, the ends of holes and of frozen runs (where nothing can be seen), and
+    every GRID-th reading (a change at -40 degrees shifts nothing).
+    """
+    scale = np.maximum(noise_scale(values), local_rate(values))
+    stuck = frozen(values)
+    shift = np.abs(np.diff(values)) > 4 * np.minimum(scale[1:], scale[:-1]) + 1e-9
+    close = np.diff(seconds) <= HOLE_SLOTS * interval if interval > 0 else np.ones(len(values) - 1, dtype=bool)
+    informative = close & ~(stuck[1:] | stuck[:-1])
+    at = np.flatnonzero(shift | ~informative | (np.arange(1, len(values)) % GRID == 0)) + 1
+    return at, jump_costs(values[at - 1], values[at], np.maximum(scale[at - 1], scale[at]), informative[at - 1])
+
+
 def segment(seconds: np.ndarray, values: np.ndarray, setpoint: np.ndarray, interval: float):
     """Cheapest segmentation for every pair of first and last unit.
 
-    Exact dynamic program over the readings at which a change can be seen (a level shift) plus an even grid of
-    readings, the costs in between taken from prefix sums. Returns (cost[first, last], paths[first][last]) where a
-    path is a list of (index of its first reading, unit).
+    Exact dynamic program over the readings at which a change may be (see changes), the costs in between taken from
+    prefix sums. Returns (cost[first, last], paths[first][last]) where a path is a list of (index of its first
+    reading, unit).
     """
     n = len(values)
     rows = emission(values, setpoint)
-    scale = np.maximum(noise_scale(values), local_rate(values))
-    step = np.abs(np.diff(values))
-    stuck = frozen(values)
-    shift = step > 4 * np.minimum(scale[1:], scale[:-1]) + 1e-9
-    if interval > 0:
-        close = np.diff(seconds) <= HOLE_SLOTS * interval
-    else:
-        close = np.ones(n - 1, dtype=bool)
-    informative = close & ~(stuck[1:] | stuck[:-1])
-    at = np.flatnonzero(shift | ~informative | (np.arange(1, n) % GRID == 0)) + 1
-    transition = jump_costs(values[at - 1], values[at], np.maximum(scale[at - 1], scale[at]), informative[at - 1])
+    at, transition = changes(seconds, values, interval)
     total = np.concatenate([np.zeros((N, 1)), np.cumsum(rows, axis=1)], axis=1)
     bounds = np.concatenate([[0], at, [n]])
     spans = (total[:, bounds[1:]] - total[:, bounds[:-1]]).T

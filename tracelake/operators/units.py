@@ -17,7 +17,7 @@ from tracelake.session import materialize
 
 UNITS = kernel.UNITS
 #: Costs that evidence from outside the values puts on a trace beginning in another unit.
-NAME_COST, NOTE_COST, GUESS_COST, FOREIGN_COST, LOGGER_COST, TRACE_CAP = 40.0, 25.0, 3.0, 2.0, 20.0, 30.0
+NAME_COST, NOTE_COST, GUESS_COST, FOREIGN_COST, LOGGER_COST, TRACE_CAP = 40.0, 25.0, 3.0, 3.0, 20.0, 30.0
 #: How channel names and header notes tell a unit; the first that matches holds.
 NAME_PATTERNS = (
     ("dC", r"(?i)1/10 ?°?c|deci-?c|\bx ?10\b"),
@@ -235,7 +235,8 @@ def _priors(chunks: DataFrame, trace_rows: DataFrame, file_metadata: DataFrame)
         "trace_id",
         unit_told(F.col("channel"), NAME_PATTERNS).alias("name"),
         unit_told(F.col("note"), NOTE_PATTERNS).alias("note"),
-        "guess",
+        # C is what the earlier step says of any name, F what it says of any with an f after temp: neither tells
+        F.when((F.col("guess") == "K") | ((F.col("guess") == "F") & ~F.col("channel").rlike("(?i)te?mp.*f")), F.col("guess")).alias("told_guess"),
         *[F.least(F.coalesce(F.col(f"l{i}") - low, F.lit(0.0)), F.lit(LOGGER_COST)).alias(f"l{i}") for i in range(kernel.N)],
     )
     prior = []
@@ -244,7 +245,7 @@ def _priors(chunks: DataFrame, trace_rows: DataFrame, file_metadata: DataFrame)
         cost = cost + F.when(F.col("name").isNotNull(), F.when(F.col("name") != unit, NAME_COST).otherwise(0.0)).otherwise(
             F.when(F.col("note") != unit, NOTE_COST).otherwise(0.0)
         )
-        prior.append(cost + F.when(F.col("guess").isin("C", "F", "K") & (F.col("guess") != unit), GUESS_COST).otherwise(0.0))
+        prior.append(cost + F.when(F.col("told_guess") != unit, GUESS_COST).otherwise(0.0))
     return told.select("trace_id", F.array(*prior).alias("prior"))
 
 
