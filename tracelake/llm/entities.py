@@ -69,7 +69,8 @@ _EN = (
     rf"(?:,[ ]{_UNIT})?(?:,[ ](?:{_PLACE}[ ]\d{{5}}|{_PLACE}{_AFTER_PLACE}))?"
 )
 _POSTCODE_PLACE = rf"(?:,[ ]\d{{5}}[ ]{_CAP}(?:[ ]{_CAP}(?=[.,;\n]|[ ]\p{{Ll}}|[ ]*$))?)?"
-_FR = rf"{_NUMBER},?[ ](?i:rue|avenue|boulevard|chemin|impasse|quai|place|all[ée]e)[ ](?:(?i:de la|du|des|de|d['’]|de l['’])[ ]?)?(?:{_CAP})(?:[ ]{_CAP}){{0,2}}{_POSTCODE_PLACE}"
+_FR_OF = r"(?i:de la|du|des|de|d['’]|de l['’])[ ]?"
+_FR = rf"{_NUMBER},?[ ](?:(?i:rue|chemin|impasse|quai|all[ée]e)[ ](?:{_FR_OF})?|(?i:avenue|boulevard|place)[ ]{_FR_OF}){_CAP}(?:[ ]{_CAP}){{0,2}}{_POSTCODE_PLACE}"
 _ES = rf"(?i:Calle|Avenida|Plaza|Paseo|Camino)[ ](?:(?i:de la|del|de los|de las|de)[ ])?{_CAP}(?:[ ]{_CAP}){{0,3}}[ ]{_NUMBER}{_POSTCODE_PLACE}"
 _DE = (
     rf"(?:(?i:Am|Zum|Zur|Im|An der|An den|Auf der|In der)[ ]{_CAP}|(?:{_CAP}[ ])?\p{{Lu}}[\p{{L}}-]*(?i:allee|weg|straße|strasse|str\.|gasse|platz|ring|ufer|damm|hang))"
