@@ -139,7 +139,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT source_file, CAST(coalesce(min(CASE WHEN len(f) > 0 AND len(list_filter(f, lambda x: {_IS('x')})) * 2 > len(f) THEN line_no END), 0) AS BIGINT) AS data_start
             FROM (SELECT source_file, line_no, list_filter({split}, lambda x: trim(x) <> '') AS f FROM raw_lines WHERE source_file IS NOT NULL AND line_no < {HEAD_LINES}) q GROUP BY source_file""",
         "is_numeric": f"SELECT source_file, count(*) AS fields, count(CASE WHEN {_IS('f')} THEN 1 END) AS numbers FROM (SELECT source_file, unnest({split}) AS f FROM raw_lines WHERE source_file IS NOT NULL) q GROUP BY source_file",
-        "ts_format": f"SELECT source_file, {_format_sql('v')} AS timestamp_format FROM (SELECT source_file, stamp_text AS v, row_number() OVER (PARTITION BY source_file ORDER BY stamp_text IS NULL, line_no, reading_id) AS nth FROM reading_stamps WHERE source_file IS NOT NULL) q WHERE nth = 1",
+        "ts_format": f"SELECT source_file, {_format_sql('v')} AS timestamp_format FROM (SELECT source_file, stamp_text AS v, row_number() OVER (PARTITION BY source_file ORDER BY line_no, reading_id) AS nth FROM reading_stamps WHERE source_file IS NOT NULL) q WHERE nth = 1",
         "column_detect": f"SELECT source_file, coalesce({first('time|elapsed|seconds|timestamp|date')}, column_names[1]) AS time_column, {first('chamber|temp|air')} AS temperature_column, {first('setpoint|set_point|target|_sp$|^sp_')} AS setpoint_column FROM raw_traces WHERE source_file IS NOT NULL",
         "temp_convert": f"SELECT channel, unit, round(avg(CASE unit WHEN 'F' THEN (v - 32) * 5 / 9 WHEN 'K' THEN v - 273.15 ELSE v END), 4) AS mean_c, count(v) AS n FROM (SELECT channel, {unit} AS unit, {value} AS v FROM trace_rows WHERE channel IS NOT NULL) q GROUP BY channel, unit",
     }
