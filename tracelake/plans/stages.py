@@ -15,6 +15,7 @@ BOUNDS = {
     "noise": (0.01, 2.0), "slope_noise": (0.05, 5.0), "stable_slope": (0.1, 8.0), "stable_variance": (0.02, 3.0), "ramp_slope": (0.3, 20.0),
     "overshoot": (0.1, 10.0), "correction": (0.05, 5.0), "cluster": (0.5, 15.0), "min_region": (5.0, 120.0),
 }
+EXPECTED = ("HEATING_RAMP", "HOT_DWELL", "COOLING_RAMP", "COLD_DWELL")
 RAMP_SECONDS, RAMP_MONOTONICITY, REVERSAL, BAND_C, SETTLING_C, DRIFT = 30.0, 0.7, 1.5, 5.0, 3.0, 0.5
 
 
@@ -451,12 +452,22 @@ def _consistency(d: Dialect) -> str:
     return f"SELECT trace_id, ({part('heat_avg', 'heat_avg <> 0')} + {part('duration', 'duration > 0')}) / 2 AS score FROM cym GROUP BY trace_id"
 
 
+def _sequence(d: Dialect) -> str:
+    """Expected phases found in order, each after the one before (the earliest that fits)."""
+    sql = "SELECT trace_id, CAST(-1 AS BIGINT) AS at, 0 AS found FROM reg GROUP BY trace_id"
+    for label in EXPECTED:
+        sql = f"""SELECT q.trace_id, max(q.at) AS at0, min(CASE WHEN g.label = '{label}' AND g.region_no > q.at THEN g.region_no END) AS next_, max(q.found) AS found0
+            FROM ({sql}) q JOIN reg g ON g.trace_id = q.trace_id GROUP BY q.trace_id"""
+        sql = f"SELECT trace_id, coalesce(next_, at0) AS at, found0 + CASE WHEN next_ IS NOT NULL AND found0 = {EXPECTED.index(label)} THEN 1 ELSE 0 END AS found FROM ({sql}) q"
+    return sql
+
+
 STAGES: dict[str, Callable[[Dialect], str]] = {
     "flg": _flags, "rep": _report, "qlt": _quality, "gate": _gate, "slp": _slope_rows, "bth": _thresholds, "bnd0": _ends, "amb": _ambient, "cus": _cusum,
     "bnd": _boundaries, "plt": _plateaus, "stb": _stable, "spt": _setpoints, "adc": _constants, "tol": _tolerance, "run": _runs, "rrn": _region_runs, "mrg": _merged,
     "rgr": _region_rows, "reg": _regions, "evd": _evidence, "rmr": _ramp_rows, "env": _envelope, "vrr0": _valid_rows, "vrm": _valid_ramps, "vrr": _valid_ramp_rows,
     "rmm": _ramp_metrics, "dwr": _dwell_rows, "dwm": _dwell_metrics, "dws": _dwell_order, "cyb": _cycle_bounds, "cyc": _cycles, "cym": _cycle_metrics,
-    "cyo": lambda d: _cycle_metrics(d, own=True), "res": _results, "phs": _phases, "dst": _distribution, "drf": _drift, "cns": _consistency,
+    "cyo": lambda d: _cycle_metrics(d, own=True), "res": _results, "phs": _phases, "dst": _distribution, "seq": _sequence, "drf": _drift, "cns": _consistency,
 }
 
 _FRAME = "ROWS BETWEEN half PRECEDING AND half FOLLOWING"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.operators.signal import canonical_trace, trace_frames, trace_signals
 from tracelake.operators.slopes import ramp_slopes
-from tracelake.plans.stages import DUCK_SOURCES, STAGES, Dialect, doubles, needs, render
+from tracelake.plans.stages import DUCK_SOURCES, EXPECTED, STAGES, Dialect, doubles, needs, render
 from tracelake.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,7 @@ SELECTS: dict[str, str] = {
     "validate_overshoot": f"SELECT trace_id, region_id, {_r('overshoot')}, overshoot <= 3.0 AS within FROM dwm WHERE label <> 'AMBIENT_START'",
     "validate_settling": f"SELECT trace_id, region_id, {_r('settling_s')}, settling_s <= 300.0 AS within FROM dwm WHERE label <> 'AMBIENT_START'",
     "validate_cycle_count": "SELECT trace_id, CAST(sum(CASE WHEN status = 'COMPLETE' THEN 1 ELSE 0 END) AS BIGINT) AS complete_cycles, sum(CASE WHEN status = 'COMPLETE' THEN 1 ELSE 0 END) >= 1 AS enough FROM cyc GROUP BY trace_id",
+    "validate_sequence": f"SELECT trace_id, CAST(found AS BIGINT) AS phases_found, found = {len(EXPECTED)} AS in_sequence FROM seq",
     "validation_results": f"SELECT {_RESULT} FROM res",
     "phase_conformance": f"SELECT trace_id, region_id, {_RANK} AS worst_status, worst >= 2 AS anomaly FROM phs",
     "overall_status": f"SELECT trace_id, CAST(count(*) AS BIGINT) AS phases, CAST({_PASSED} AS BIGINT) AS passed, round({_PASSED} * 1e2 / count(*), 4) AS conformance_pct, CASE WHEN {_PASSED} * 1e2 / count(*) >= 95 THEN 'PASS' ELSE 'FAIL' END AS status FROM phs GROUP BY trace_id",
