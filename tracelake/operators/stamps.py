@@ -189,46 +189,47 @@ def normalised_stamps(
     stamps = reading_stamps.select("reading_id", "source_file", "line_no", "stamp_text", text.alias("text"))
     placed = salted_join(stamps, rules, "source_file", F.xxhash64("reading_id"), "left").withColumn("rule", F.coalesce("rule", F.lit("UTC")))
     book = stamp_dictionary(placed.filter("text is not null"), dictionary_folder)
-    read = placed.join(book, ["text", "rule"], "left")
+    # written once: the facts of the files are gathered from it and joined to it
+    read = materialize(placed.join(book, ["text", "rule"], "left").drop("text", "rule"))
+    known = F.coalesce("ordered", F.lit(True))
 
-    only = lambda a, b: F.count(F.when(~F.col("ordered") & F.col(a).isNotNull() & F.col(b).isNull(), 1))
-    votes = read.groupBy("source_file").agg(
+    # centred on the range so that the sums stay exact enough
+    origin = _us(F.lit(EARLIEST).cast("timestamp"))
+    instants = {"dmy": ("dmy_us", "dmy_again_us"), "mdy": ("mdy_us", "mdy_again_us")}
+    pick = lambda order, k: F.col(instants["dmy"][k]) if order == "dmy" else F.when(known, F.col("dmy_us" if k == 0 else "dmy_again_us")).otherwise(F.col(instants["mdy"][k]))
+    lines = []
+    for order in instants:
+        sure = F.when(pick(order, 1).isNull(), (pick(order, 0) - origin) / F.lit(1e6))
+        at = F.col("line_no").cast("double")
+        lines += [F.regr_slope(sure, at).alias(f"{order}_slope"), F.regr_intercept(sure, at).alias(f"{order}_base")]
+    only = lambda a, b: F.count(F.when(~known & F.col(a).isNotNull() & F.col(b).isNull(), 1))
+    facts = read.groupBy("source_file").agg(
         only("dmy_us", "mdy_us").alias("dmy_only"),
         only("mdy_us", "dmy_us").alias("mdy_only"),
-        F.max(F.when(~F.col("ordered"), F.col("dmy_us"))).alias("dmy_last"),
-        F.max(F.when(~F.col("ordered"), F.col("mdy_us"))).alias("mdy_last"),
-        F.min("ingested_us").alias("ingested_us"),
-        F.max(F.coalesce("half_day", F.lit(False))).alias("half_day"),
+        F.max(F.when(~known, F.col("dmy_us"))).alias("dmy_last"),
+        F.max(F.when(~known, F.col("mdy_us"))).alias("mdy_last"),
+        F.min("ingested_us").alias("registered_us"),
+        F.max(F.coalesce("half_day", F.lit(False))).alias("some_half_day"),
+        *lines,
     )
-    lag = lambda c: F.col("ingested_us") - F.col(c)
+    lag = lambda c: F.col("registered_us") - F.col(c)
     # the last reading may lie within the day of registration in another zone's count
     fits = lambda c: F.coalesce(lag(c).between(-HOUR_US, INGEST_DAYS * DAY_US + HOUR_US), F.lit(False))
     day_first = (
         F.when(F.col("dmy_only") != F.col("mdy_only"), F.col("dmy_only") > F.col("mdy_only"))
         .when(fits("dmy_last") != fits("mdy_last"), fits("dmy_last"))
         .when(F.coalesce(F.abs(lag("dmy_last")) != F.abs(lag("mdy_last")), F.lit(False)), F.abs(lag("dmy_last")) < F.abs(lag("mdy_last")))
-        .otherwise(~F.col("half_day"))
-    )
-    orders = votes.select("source_file", day_first.alias("day_first"))
-    spread = F.xxhash64("reading_id")
-    ordered = salted_join(read.drop("ingested_us"), orders, "source_file", spread, "left")
-    dmy = F.col("ordered") | F.coalesce("day_first", F.lit(True))
-    chosen = ordered.select(
-        "reading_id", "source_file", "line_no", "stamp_text",
-        F.when(dmy, F.col("dmy_us")).otherwise(F.col("mdy_us")).alias("us"),
-        F.when(dmy, F.col("dmy_again_us")).otherwise(F.col("mdy_again_us")).alias("again_us"),
-    )
-    # centred on the range so that the sums stay exact enough
-    origin = _us(F.lit(EARLIEST).cast("timestamp"))
-    sure = F.when(F.col("again_us").isNull(), (F.col("us") - origin) / F.lit(1e6))
-    lines = chosen.groupBy("source_file").agg(
-        F.regr_slope(sure, F.col("line_no").cast("double")).alias("slope"),
-        F.regr_intercept(sure, F.col("line_no").cast("double")).alias("intercept"),
+        .otherwise(~F.col("some_half_day"))
     )
-    placed_on = salted_join(chosen, lines, "source_file", spread, "left")
-    expected = origin + (F.col("slope") * F.col("line_no") + F.col("intercept")) * F.lit(1e6)
+    of_order = lambda name: F.when(day_first, F.col(f"dmy_{name}")).otherwise(F.col(f"mdy_{name}"))
+    files_told = facts.select("source_file", day_first.alias("day_first"), of_order("slope").alias("slope"), of_order("base").alias("base"))
+    joined = salted_join(read, files_told, "source_file", F.xxhash64("reading_id"), "left")
+    dmy = F.coalesce("day_first", F.lit(True))
+    us, again = (F.when(dmy, pick("dmy", k)).otherwise(pick("mdy", k)) for k in (0, 1))
+    chosen = joined.select("reading_id", "source_file", "line_no", "stamp_text", "slope", "base", us.alias("us"), again.alias("again_us"))
+    expected = origin + (F.col("slope") * F.col("line_no") + F.col("base")) * F.lit(1e6)
     later = F.coalesce(F.abs(F.col("again_us") - expected) < F.abs(F.col("us") - expected), F.lit(False))
-    return placed_on.select(
+    return chosen.select(
         "reading_id", "source_file", "line_no", "stamp_text", F.when(later, F.col("again_us")).otherwise(F.col("us")).alias("utc_us")
     )
 
