@@ -15,7 +15,7 @@ SEED = 20240229
 
 def _plan(counts: DataFrame, mix_targets: DataFrame) -> DataFrame:
     """One row per mix and source: share, cap, wanted and available tokens, whole epochs and the rest to cut."""
-    wanted = counts.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("wanted_total"))
+    wanted = counts.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]  # one number
     sources = counts.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
     weight = F.when(F.col("target_share") > 0, F.col("target_share")).otherwise(0.0)
     weight = F.when(F.isnan("target_share"), 0.0).otherwise(weight)
@@ -27,7 +27,7 @@ def _plan(counts: DataFrame, mix_targets: DataFrame) -> DataFrame:
     )
     total = F.sum("weight").over(Window.partitionBy("mix_name"))
     share = F.when(total > 0, F.col("weight") / total).otherwise(0.0)
-    joined = targets.withColumn("target_share", share).join(sources, "source", "left").crossJoin(wanted)  # one row beside few
+    joined = targets.withColumn("target_share", share).join(sources, "source", "left").withColumn("wanted_total", F.lit(wanted).cast("long"))
     have = F.coalesce("available_tokens", F.lit(0))
     budget = F.round(F.col("target_share") * F.col("wanted_total")).cast("long")
     used = F.least(budget, have * F.col("max_repeats"))
