@@ -83,7 +83,7 @@ def changes(seconds: np.ndarray, values: np.ndarray, interval: float) -> tuple[n
     shift = np.abs(np.diff(values)) > 4 * np.minimum(scale[1:], scale[:-1]) + 1e-9
     close = np.diff(seconds) <= HOLE_SLOTS * interval if interval > 0 else np.ones(len(values) - 1, dtype=bool)
     informative = close & ~(stuck[1:] | stuck[:-1])
-    at = np.flatnonzero(shift | ~informative | (np.arange(1, len(values)) % GRID == 0)) + 1
+    at = np.flatnonzero(shift | ~close | (stuck[1:] != stuck[:-1]) | (np.arange(1, len(values)) % GRID == 0)) + 1
     return at, jump_costs(values[at - 1], values[at], np.maximum(scale[at - 1], scale[at]), informative[at - 1])
 
 
@@ -109,16 +109,12 @@ def segment(seconds: np.ndarray, values: np.ndarray, setpoint: np.ndarray, inter
         best = options.argmin(axis=1)
         back[k] = best
         state = options[rows_index[:, None], best, rows_index[None, :]] + spans[k + 1][None]
-    paths = []
-    for first in range(N):
-        row = []
-        for last in range(N):
-            unit, path = last, []
-            for k in range(len(at) - 1, -1, -1):
-                previous = back[k, first, unit]
-                if previous != unit:
-                    path.append((int(at[k]), int(unit)))
-                unit = previous
-            row.append([(0, first), *reversed(path)])
-        paths.append(row)
-    return state, paths
+    paths = [[[] for _ in range(N)] for _ in range(N)]
+    unit = np.tile(rows_index, (N, 1))  # [first, last]
+    for k in range(len(at) - 1, -1, -1):
+        previous = back[k][rows_index[:, None], unit]
+        if (previous != unit).any():
+            for first, last in np.argwhere(previous != unit):
+                paths[first][last].append((int(at[k]), int(unit[first, last])))
+        unit = previous
+    return state, [[[(0, first), *reversed(paths[first][last])] for last in range(N)] for first in range(N)]

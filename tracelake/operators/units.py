@@ -78,12 +78,14 @@ def segment_chunk(us: np.ndarray, rows: np.ndarray, values: np.ndarray, setpoint
         "linked_last": not stuck[-1], "first_us": us[keep[0]], "last_us": us[keep[-1]],
     }
     columns: dict[str, list] = {name: [] for name in ("pair", "path_us", "path_row", "path_unit", "path_n", "path_low", "path_high")}
+    ends: dict[tuple[int, int], np.ndarray] = {}  # the 16 paths share most of their stretches
     for first in range(kernel.N):
         for last in range(kernel.N):
             path = paths[first][last]
             for (at, unit), end in zip(path, [at for at, _ in path[1:]] + [len(keep)]):
-                low, high = np.percentile(value[at:end], (5, 95)) if len(path) > 1 or first == last == 0 else (np.nan, np.nan)
-                row = (first * kernel.N + last, us[keep[at]], rows[keep[at]], unit, end - at, low, high)
+                if (at, end) not in ends:
+                    ends[at, end] = np.percentile(value[at:end], (5, 95))
+                row = (first * kernel.N + last, us[keep[at]], rows[keep[at]], unit, end - at, *ends[at, end])
                 for name, x in zip(columns, row):
                     columns[name].append(x)
     return out | columns
@@ -150,12 +152,8 @@ def _compose(chunks: pd.DataFrame, prior: np.ndarray) -> list[list[tuple[int, in
     stretches: list[list] = []  # chunk, us, row, unit, n, low, high
     for k, (first, last) in enumerate(pairs):
         chosen = np.flatnonzero(np.asarray(chunks["pair"].iloc[k]) == first * kernel.N + last)
-        whole = np.flatnonzero(np.asarray(chunks["pair"].iloc[k]) == 0)
         for j in chosen:
-            stretch = [k] + [chunks[c].iloc[k][j] for c in ("path_us", "path_row", "path_unit", "path_n", "path_low", "path_high")]
-            if len(chosen) == 1 and not np.isfinite(stretch[5]) and len(whole) == 1:
-                stretch[5], stretch[6] = (chunks[c].iloc[k][whole[0]] for c in ("path_low", "path_high"))
-            stretches.append(stretch)
+            stretches.append([k] + [chunks[c].iloc[k][j] for c in ("path_us", "path_row", "path_unit", "path_n", "path_low", "path_high")])
     merged: list[list[list]] = []
     for s in stretches:
         if merged and merged[-1][-1][3] == s[3]:
