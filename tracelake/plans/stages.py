@@ -205,10 +205,13 @@ def _constants(d: Dialect) -> str:
 
 
 def _tolerance(d: Dialect) -> str:
-    return """
-    SELECT c.trace_id, v.parameter_name, coalesce(v.explicit_c, CASE WHEN v.parameter_name = 'ramp_deviation' THEN c.ramp_deviation ELSE c.dwell_deviation END) AS tolerance_c,
-           CASE WHEN v.explicit_c IS NOT NULL THEN 'EXPLICIT_PROFILE' ELSE 'ADAPTIVE_DERIVED' END AS tolerance_source
-    FROM adc c CROSS JOIN (SELECT 'ramp_deviation' AS parameter_name, CAST(NULL AS DOUBLE) AS explicit_c UNION ALL SELECT 'dwell_setpoint_deviation', CAST(2.0 AS DOUBLE)) v"""
+    # an explicit tolerance of the profile wins over the derived one; the example profile gives one for dwells only
+    explicit = {"ramp_deviation": None, "dwell_setpoint_deviation": 2.0}
+    derived = {"ramp_deviation": "ramp_deviation", "dwell_setpoint_deviation": "dwell_deviation"}
+    return " UNION ALL ".join(
+        f"SELECT trace_id, '{name}' AS parameter_name, {derived[name] if value is None else d.number(value)} AS tolerance_c, '{'ADAPTIVE_DERIVED' if value is None else 'EXPLICIT_PROFILE'}' AS tolerance_source FROM adc"
+        for name, value in explicit.items()
+    )
 
 
 def _runs(d: Dialect) -> str:

@@ -50,3 +50,9 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/tracelake/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean_shared(spark: SparkSession) -> None:
+    """Remove all tables that materialize wrote to the shared folder; results not yet read need them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/tracelake")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
