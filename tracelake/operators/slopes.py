@@ -77,6 +77,16 @@ def sustained_slope(t: np.ndarray, x: np.ndarray, interval: float) -> float:
     if window >= len(t):
         return theil_sen(t, x)
     best = None
+    if window <= 128 and (np.diff(t) > 0).all():
+        i, j = np.triu_indices(window, 1)
+        rows = np.arange(window)
+        medians = []
+        for a in range(0, len(t) - window + 1, 128):
+            at = np.arange(a, min(a + 128, len(t) - window + 1))[:, None] + rows[None, :]
+            tt, xx = t[at], x[at]
+            medians.append(np.median((xx[:, j] - xx[:, i]) / (tt[:, j] - tt[:, i]), axis=1) * 60)
+        slopes = np.concatenate(medians)
+        return float(slopes[np.abs(slopes).argmin()])
     for a in range(len(t) - window + 1):
         slope = theil_sen(t[a : a + window], x[a : a + window])
         if best is None or abs(slope) < abs(best):
