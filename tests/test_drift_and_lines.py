@@ -115,3 +115,20 @@ def test_lines_with_reasons(spark):
     count = rawlines.usable_counts(*args).collect()
     assert [(r.data_row_count, r.usable_row_count) for r in count] == [(12, 4)]
     assert rawlines.rejected_lines(lines.limit(0), *args[1:]).count() == 0
+
+
+def test_more_words_than_the_catalog_has():
+    k = SensorNames([("SP_AIR", "SP_AIR"), ("Setpoint", "SP_AIR"), ("Humidity", "RH"), ("Oxygen", "O2")])
+    assert k.code("SetPt") == "SP_AIR" and k.code("Set Temp") == "?settemp"
+
+
+def test_kind_of_columns_the_catalog_lacks(spark):
+    head = ["What", "Flag", "Text", "Never"]
+    records = [dict(zip(head, r)) for r in ((1, True, "a", None), (2, False, "b", None), ("ERR", "??", 3, None), (None, None, None, None))]
+    text = [";".join(["t", *head]), "1;5,5;ON;x;x", "2;#REF;ON;x;x", "3;5;MAYBE;x;x", "4;-;off;7;?"]
+    lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(text)], "source_file string, line_no int, line_text string")
+    meta = metadata(spark, ("f", None, None)).selectExpr("* except (header_row_index)", "0 as header_row_index")
+    args = (lines, meta, traces(spark, [("g", head, records)]), catalog(spark))
+    assert {(r.line_no, r.reason) for r in rawlines.rejected_lines(*args).collect()} == {(2, "invalid_value"), (3, "invalid_value")}
+    assert {r.line_no for r in rawlines.valid_rows(*args).collect()} == {1, 4}
+    assert [(r.data_row_count, r.usable_row_count) for r in rawlines.usable_counts(*args).collect()] == [(4, 2)]

@@ -59,6 +59,8 @@ class SensorNames:
                 fits = {
                     c for w, c in self.spelled if len(w) == len(own) and all(_shortens(a, b) for a, b in zip(own, w))
                 }
+                if not fits:  # more words than the catalog's name has, as in SetPt for Setpoint
+                    fits = {c for w, c in self.spelled if len(w) < len(own) and _shortens("".join(own), "".join(w))}
                 code = fits.pop() if len(fits) == 1 else "?" + "".join(own)
             self.seen[name] = code
         return self.seen[name]

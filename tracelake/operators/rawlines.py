@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.sensors import sensor_of
 from tracelake.operators._groups import salted_join
 from tracelake.operators._tokens import Lines
-from tracelake.operators.drift import UNIT_TEXT
+from tracelake.operators.drift import UNIT_TEXT, cells
 
 DELIMITERS = ("\t", ";", "|", ",")
 NUMBER = rf"^\s*[+-]?(\d+([.,]\d*)?|[.,]\d+)([eE][+-]?\d+)?\s*({UNIT_TEXT})?\s*$"
@@ -94,13 +94,19 @@ def file_plans(raw_lines: DataFrame, file_metadata: DataFrame, raw_traces: DataF
     columns = split.select("source_file", F.posexplode("names").alias("at", "name"))
     data_types = catalog.filter("sensor_code is not null").groupBy("sensor_code").agg(F.min("data_type").alias("data_type"))
     names = columns.select("name").distinct().withColumn("sensor_code", resolve("name")).join(F.broadcast(data_types.limit(100_000)), "sensor_code", "left")
+    counted = cells(raw_traces).filter("kind is not null").groupBy(F.trim("channel_name").alias("name"), "kind").agg(F.count(F.lit(1)).alias("n"))
+    # on ties string comes before number, as any text is allowed then
+    logged = counted.groupBy("name").agg(F.max_by("kind", F.struct("n", "kind")).alias("logged"))
     kind = (
         F.when(F.col("at") == 0, "T")
         .when(F.col("data_type") == "NUMERIC", "N")
         .when(F.col("data_type") == "STATE", "S")
+        .when(F.col("data_type").isNotNull(), "X")
+        .when(F.col("logged") == "number", "N")
+        .when(F.col("logged") == "boolean", "S")
         .otherwise("X")
     )
-    kinds = columns.join(names, "name", "left").select("source_file", "at", kind.alias("kind"))
+    kinds = columns.join(names.join(logged, "name", "left"), "name", "left").select("source_file", "at", kind.alias("kind"))
     by_file = kinds.groupBy("source_file").agg(F.sort_array(F.collect_list(F.struct("at", "kind"))).alias("k"))
     letters = by_file.select("source_file", F.array_join(F.transform("k", lambda x: x["kind"]), "").alias("kinds"))
     return split.join(letters, "source_file").select("source_file", "header_no", "header", "delimiter", "names", "kinds")
