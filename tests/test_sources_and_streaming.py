@@ -1,6 +1,7 @@
 import pytest
 
 from tests.traces import rows
+from tracelake.plans.texts import header_scan
 from tracelake.sources.ingest import InputFormatError, detect_encoding, load_log_file, load_trace_file
 from tracelake.sources.sinks import html_report, write_csv, write_json
 from tracelake.streaming.live import live_flags, windowed_statistics
@@ -29,6 +30,12 @@ def test_log_and_encodings(spark, tmp_path):
     assert load_trace_file(spark, str(tmp_path / "d.log")).columns == ["Time", "Tür"]
 
 
+def test_header_after_a_long_preamble(spark):
+    text = [*["note"] * 250, "Time\tTemp", "1\t20"]
+    lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(text)], "source_file string, line_no int, line_text string")
+    assert [tuple(r) for r in header_scan(lines).collect()] == [("f", 250)]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, ["a"], None)], "k int, v array<string>, n string")
     write_json(df, f"{tmp_path}/j")

@@ -17,7 +17,7 @@ HEAD_LINES = 20
 def header_scan(raw_lines: DataFrame) -> DataFrame:
     """Per file the first line with at least two tab fields, none of them numeric, before one that begins with a number."""
     order = Window.partitionBy("source_file").orderBy("line_no")
-    lines = raw_lines.filter("source_file is not null and line_no < 200").select(
+    lines = raw_lines.filter("source_file is not null").select(
         "source_file", "line_no", F.split("line_text", "\t").alias("own"), F.split(F.lead("line_text").over(order), "\t").alias("following")
     )
     words = F.filter("own", lambda x: F.trim(x) != "")
