@@ -30,6 +30,17 @@ def test_log_and_encodings(spark, tmp_path):
     assert load_trace_file(spark, str(tmp_path / "d.log")).columns == ["Time", "Tür"]
 
 
+@pytest.mark.parametrize("separator", ["\t", ",", ";", "|"])
+def test_rows_with_an_empty_last_field(spark, tmp_path, separator):
+    path = tmp_path / "e.log"
+    lines = ["Time,Temp,Remark", "1,20,ok", "2,21,", "3,22", "4,,", '5,23,""', "6,24,,", "6,24,x,,", ",,", '7,"a,b",']
+    path.write_text("\n".join(x.replace(",", separator) for x in lines))
+    got = [tuple(r) for r in load_trace_file(spark, str(path)).collect()]
+    assert got == [("1", "20", "ok"), ("2", "21", None), ("4", None, None), ("5", "23", None), (None, None, None), ("7", f"a{separator}b", None)]
+    path.write_text("\n".join(x.replace(",", separator) for x in lines[:5]))
+    assert [tuple(r) for r in load_log_file(spark, str(path)).collect()] == [(1.0, 20.0, "ok"), (2.0, 21.0, None), (4.0, None, None)]
+
+
 def test_header_after_a_long_preamble(spark):
     text = [*["note"] * 250, "Time\tTemp", "1\t20"]
     lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(text)], "source_file string, line_no int, line_text string")

@@ -77,8 +77,9 @@ def load_trace_file(spark: SparkSession, path: str, channel: str | None = None)
     preamble = [line.rstrip("\r") for line in text.split("\n")[: skip + 1]]
     lines = spark.read.option("encoding", encoding.replace("latin-1", "iso-8859-1")).option("lineSep", "\n").csv(path, sep="\x01", quote="", escape="").toDF("line") if encoding != "utf-8" else spark.read.text(path).toDF("line")
     body = lines.withColumn("line", F.regexp_replace("line", "^﻿|\r$", "")).filter(~F.col("line").isin(preamble) & (F.trim("line") != ""))
-    fields = F.from_csv("line", ", ".join(f"`c{i}` string" for i in range(len(names) + 1)), {"sep": separator})
-    parsed = body.select(fields.alias("f")).filter(f"f.c{len(names) - 1} is not null and f.c{len(names)} is null")
+    # Spark marks a line with another number of fields as corrupt; an empty field and an absent one are both null
+    fields = F.from_csv("line", ", ".join(f"`c{i}` string" for i in range(len(names))) + ", `bad` string", {"sep": separator, "columnNameOfCorruptRecord": "bad"})
+    parsed = body.select(fields.alias("f")).filter("f.bad is null")
     return parsed.select(*[F.col(f"f.c{i}").alias(n) for i, n in enumerate(names)])
 
 
