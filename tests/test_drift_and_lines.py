@@ -3,6 +3,7 @@ import random
 
 import pyarrow as pa
 import numpy as np
+import pytest
 
 from tests.traces import metadata
 from tracelake.functions.sensors import SensorNames
@@ -56,6 +57,16 @@ def test_rescue_and_replay(spark):
     assert rescued_table(bad, catalog(spark)).count() == 0
 
 
+def test_empty_records_and_large_catalogs(spark):
+    records = ["{}", '{"t": null, "Air Temp": null}', '{"t": 1, "Air Temp": NaN}', '{"t": 2, "Air Temp": 20, "What": null}', '{"": 7, "Air Temp": 21}']
+    raw = spark.createDataFrame([("a", ["t", "Air Temp"], records, 5, "x")], "source_file string, column_names array<string>, records array<string>, row_count long, sensor string")
+    got = {r.record_no: (r.time_text, r.T_AIR, r._rescued) for r in rescued_table(raw, catalog(spark)).collect()}
+    assert got == {0: (None, None, "{}"), 1: (None, None, "{}"), 2: ("1", None, "{}"), 3: ("2", 20.0, "{}"), 4: (None, 21.0, '{"":"7"}')}
+    many = spark.range(1001).selectExpr("concat('S', id) as sensor_code", "concat('S', id) as standard_name", "'NUMERIC' as data_type", "array('') as known_aliases")
+    with pytest.raises(ValueError, match="more than 1000"):
+        rescued_table(raw, many)
+
+
 def scan(line, delimiter):
     """A tokenizer that reads one character after the other: fields, or None for broken quoting."""
     fields, i = [], 0

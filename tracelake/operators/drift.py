@@ -11,6 +11,8 @@ from tracelake.functions.sensors import sensor_of
 UNIT_TEXT = r"°?[CFK]|deg ?[CF]|%|m?V|kV|m?A|g|rpm|m?bar|k?Pa|l/min|ms|s"
 #: Cells that mean nothing was recorded.
 MISSING = ("", "-", "nan", "n/a")
+#: The ingested table has a column for each sensor; a catalog of more is an error.
+SENSOR_LIMIT = 1000
 
 
 def files_in_order(file_metadata: DataFrame) -> DataFrame:
@@ -27,17 +29,17 @@ def files_in_order(file_metadata: DataFrame) -> DataFrame:
 def cells(raw_traces: DataFrame) -> DataFrame:
     """Every field of every record: source_file, record_no, channel_name, value (variant), kind (JSON type, null for null).
 
-    Records that are no JSON object drop out; NaN and Infinity, which JSON lacks, count as null.
+    Records that are no JSON object drop out, one without fields has a row of nulls; NaN and Infinity, which JSON lacks, count as null.
     """
     records = raw_traces.filter(F.col("source_file").isNotNull()).select("source_file", F.posexplode("records").alias("record_no", "record"))
     clean = F.regexp_replace("record", r"(?<=[:,\[]\s?)(NaN|-?Infinity)(?=\s*[,}\]])", "null")
     parsed = records.withColumn("parsed", F.coalesce(F.try_parse_json("record"), F.try_parse_json(clean)))
     parsed = parsed.filter(F.schema_of_variant("parsed").startswith("OBJECT"))
     view = parsed.select("source_file", "record_no", "parsed").alias("r")
-    fields = view.lateralJoin(view.sparkSession.tvf.variant_explode(F.col("r.parsed").outer()))
+    fields = view.lateralJoin(view.sparkSession.tvf.variant_explode_outer(F.col("r.parsed").outer()))
     sort = F.schema_of_variant("value")
     kind = (
-        F.when(sort == "VOID", None)
+        F.when(sort.isNull() | (sort == "VOID"), None)
         .when(sort == "BOOLEAN", "boolean")
         .when(sort == "STRING", "string")
         .when(sort.startswith("OBJECT") | sort.startswith("ARRAY"), "nested")
@@ -110,16 +112,18 @@ def rescued_table(raw_traces: DataFrame, catalog: DataFrame, promote: bool = Tru
     NUMERIC, boolean for STATE, string for TEXT). Everything else that is not null - unknown names, other types, a second
     field of a sensor - stays in _rescued, a JSON object by channel name. promote=True then replays rescued fields of
     known sensors into their columns where the text can be read (decimal comma, unit, ON/OFF, 0/1); what still can't be
-    stays rescued. Null and blank names and records that are no JSON object drop out; an empty table stays empty.
+    stays rescued. Empty and all-null records are rows without values. Records that are no JSON object drop out; an empty table stays empty.
     """
-    sensors = [(r[0], r[1]) for r in catalog.select("sensor_code", "data_type").orderBy("sensor_code").limit(1000).collect() if r[0]]
+    sensors = [(r[0], r[1]) for r in catalog.select("sensor_code", "data_type").filter("sensor_code <> ''").orderBy("sensor_code").limit(SENSOR_LIMIT + 1).collect()]
+    if len(sensors) > SENSOR_LIMIT:
+        raise ValueError(f"the channel catalog has more than {SENSOR_LIMIT} rows")
     resolve = sensor_of(catalog)
     fields = cells(raw_traces).withColumn("text", F.expr("variant_get(value, '$', 'string')"))
     first = raw_traces.filter("source_file is not null").groupBy("source_file").agg(F.min(F.get("column_names", F.lit(0))).alias("time_name"))
     names = fields.select("channel_name").distinct().withColumn("sensor", resolve("channel_name"))
     kinds = dict(sensors)
     data_type = F.create_map(*[F.lit(x) for s in sensors for x in s])[F.col("sensor")] if sensors else F.lit(None).cast("string")
-    known = fields.filter("kind is not null").join(names, "channel_name", "left").join(first, "source_file", "left")
+    known = fields.join(names, "channel_name", "left").join(first, "source_file", "left")
     known = known.withColumn("data_type", data_type)
     time = F.col("channel_name") == F.col("time_name")
     strict = (
@@ -133,7 +137,7 @@ def rescued_table(raw_traces: DataFrame, catalog: DataFrame, promote: bool = Tru
         | (F.col("data_type") == "TEXT")
     )
     fits = F.coalesce(strict | readable if promote else strict, F.lit(False))
-    placed = known.withColumn("state", F.when(time, "time").when(fits, "typed").otherwise("rescued"))
+    placed = known.withColumn("state", F.when(F.col("kind").isNull(), "missing").when(time, "time").when(fits, "typed").otherwise("rescued"))
     nth = F.row_number().over(Window.partitionBy("source_file", "record_no", "sensor", "state").orderBy(F.desc("kind"), "channel_name"))
     placed = placed.withColumn("state", F.when((F.col("state") == "typed") & (nth > 1), "rescued").otherwise(F.col("state")))
     typed = []
