@@ -24,6 +24,13 @@ CASES = {
 }
 
 
+def test_unlabelled_numbers_of_any_range():
+    for number in ("123-45-6789", "123 45 6789", "987-65-4321", "666-12-3456"):
+        assert [(e.kind, e.text) for e in entities.find(f"Badge given to {number}, then closed.")] == [("id_number", number)]
+    for decoy in ("S/N 123-45-6789", "S/N: 123-45-6789", "Order# 123-45-6789", "PASSOrder 207-11-7787", "Lot\n123-45-6789", "Batch 123-45-6789", "1123-45-6789", "123-45-6789-1", "123-45 6789"):
+        assert entities.find(decoy) == [], decoy
+
+
 def test_cases_and_decoys():
     for text, want in CASES.items():
         assert {(e.kind, e.text) for e in entities.find(text)} == want, text

@@ -53,8 +53,8 @@ ID_NUMBER = regex.compile(
 )
 #: Numbers that no other kind of number has the form of; a label in front of a device, order or part takes them out.
 BARE_ID = regex.compile(
-    r"(?<![\p{L}\p{N}-])(?<!(?i:part|number|no\.?|order|serial|lot|s/n|checksum)[ ])"
-    r"(?:[A-CEGHJ-PR-TW-Z]{2}\d{6}[A-D]|(?:000|666)([- ])\d{2}\1\d{4})(?![\p{L}\p{N}]|-\d)"
+    r"(?<![\p{L}\p{N}-])(?<!(?i:part|number|no\.?|order|serial|lot|batch|s/n|p/n|checksum)[ ]?[:#]?[ \n])"
+    r"(?:[A-CEGHJ-PR-TW-Z]{2}\d{6}[A-D]|\d{3}([- ])\d{2}\1\d{4})(?![\p{L}\p{N}]|-\d)"
 )
 
 _EN_STREET = r"(?:Street|St\.?|Road|Rd\.?|Drive|Dr\.?|Lane|Ln\.?|Avenue|Ave\.?|Close|Court|Ct\.?|Way|Place|Square|Terrace|Crescent|Boulevard|Blvd\.?)"
