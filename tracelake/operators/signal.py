@@ -127,3 +127,42 @@ def trace_signals(canonical: DataFrame, frames: DataFrame, chunk_rows: int = CHU
     cells = copies.select("trace_id", "chunk", "row_idx", "t", "x", "sp", "half", "mb", (F.col("chunk") == F.col("_home")).alias("core"))
     ordered = cells.repartition("trace_id", "chunk").sortWithinPartitions("trace_id", "chunk", "row_idx")
     return ordered.mapInArrow(_signal_batches, _DDL)
+
+
+def _rises(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("trace_id", pa.string()), ("at", pa.int64())])
+    for table, bounds in groups(batches, ("trace_id", "chunk")):
+        own, (rows, step, thr, mc, n) = table["core"].to_numpy(), (numbers(table, c) for c in ("row_idx", "step", "thr", "mc", "n"))
+        traces, at = [], []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            width = int(mc[a])
+            if b - a < width:
+                continue
+            sums = np.cumsum(step[a:b])
+            least = sliding_window_view(sums, width).min(axis=1) - (sums - step[a:b])[: b - a - width + 1]
+            last = len(least)
+            hit = np.flatnonzero((least > thr[a : a + last]) & own[a : a + last] & (rows[a : a + last] + width - 1 <= n[a : a + last] - 1))
+            if len(hit):
+                traces.append(table["trace_id"][int(a)].as_py())
+                at.append(int(rows[a + hit[0]]))
+        yield pa.RecordBatch.from_arrays([pa.array(traces, type=pa.string()), pa.array(at, type=pa.int64())], schema=schema)
+
+
+def sustained_start(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Per trace the first row from which on all sums of the next mc steps exceed thr (process_start), else n - 1.
+
+    rows: trace_id, row_idx, step, thr, mc, n. The sums begin at the row itself, so chunks of rows with mc copied rows after
+    them tell the same as the whole trace.
+    """
+    width = F.greatest(F.lit(chunk_rows), 4 * F.col("mc")).cast("long")
+    placed = rows.withColumn("_home", F.floor(F.col("row_idx") / width).cast("long"))
+    before = F.when((F.pmod("row_idx", width) < F.col("mc")) & (F.col("_home") > 0), F.col("_home") - 1)
+    copies = placed.withColumn("chunk", F.explode(F.array_compact(F.array(F.col("_home"), before))))
+    cells = copies.select(
+        "trace_id", "chunk", "row_idx", F.col("step").cast("double").alias("step"), F.col("thr").cast("double").alias("thr"), F.col("mc").cast("long").alias("mc"),
+        F.col("n").cast("long").alias("n"), (F.col("chunk") == F.col("_home")).alias("core"),
+    )
+    found = cells.repartition("trace_id", "chunk").sortWithinPartitions("trace_id", "chunk", "row_idx").mapInArrow(_rises, "trace_id string, at long")
+    whole = rows.groupBy("trace_id").agg(F.max("n").alias("n"))
+    first = found.groupBy("trace_id").agg(F.min("at").alias("at"))
+    return whole.join(first, "trace_id", "left").select("trace_id", F.coalesce("at", F.col("n") - 1).cast("long").alias("process_start"))

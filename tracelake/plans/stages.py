@@ -9,21 +9,22 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from tracelake.functions.profiles import STANDARD, Profile
+
 W = "PARTITION BY trace_id ORDER BY row_idx"
 #: Adaptive bounds and other fixed values of the analysis.
 BOUNDS = {
     "noise": (0.01, 2.0), "slope_noise": (0.05, 5.0), "stable_slope": (0.1, 8.0), "stable_variance": (0.02, 3.0), "ramp_slope": (0.3, 20.0),
     "overshoot": (0.1, 10.0), "correction": (0.05, 5.0), "cluster": (0.5, 15.0), "min_region": (5.0, 120.0),
 }
-EXPECTED = ("HEATING_RAMP", "HOT_DWELL", "COOLING_RAMP", "COLD_DWELL")
 RAMP_SECONDS, RAMP_MONOTONICITY, REVERSAL, BAND_C, SETTLING_C, DRIFT = 30.0, 0.7, 1.5, 5.0, 3.0, 0.5
 
 
 class Dialect:
     """What the two engines spell differently."""
 
-    def __init__(self, duck: bool, starts: list[int] | None = None) -> None:
-        self.duck, self.starts = duck, starts or []
+    def __init__(self, duck: bool, profile: Profile = STANDARD) -> None:
+        self.duck, self.profile = duck, profile
 
     def quantile(self, expr: str, p: float, where: str = "") -> str:
         head = f"quantile_cont({expr}, {p})" if self.duck else f"percentile({expr}, {p}D)"
@@ -45,13 +46,6 @@ class Dialect:
     def ceil(self, expr: str) -> str:
         return f"CAST(ceil({expr}) AS BIGINT)"
 
-    def least_ahead(self, expr: str, count: str) -> str:
-        """Smallest of this row and the count-1 after it; on Spark one frame for each count that occurs."""
-        if self.duck:
-            return f"min({expr}) OVER ({W} ROWS BETWEEN CURRENT ROW AND {count} - 1 FOLLOWING)"
-        arms = " ".join(f"WHEN {n} THEN min({expr}) OVER ({W} ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)" for n in self.starts)
-        return f"CASE {count} {arms} END"
-
     def clamp(self, name: str, expr: str) -> str:
         low, high = BOUNDS[name]
         return f"greatest({self.number(low)}, least({self.number(high)}, {expr}))"
@@ -143,15 +137,11 @@ def _ambient(d: Dialect) -> str:
     JOIN slp s ON s.trace_id = m.trace_id AND s.row_idx < m.rows_ GROUP BY m.trace_id"""
 
 
-def _cusum(d: Dialect) -> str:
+def _cusum_steps(d: Dialect) -> str:
     bound = "CASE WHEN r.slope_noise > 0 THEN greatest(2 * r.slope_noise, least(10 * r.slope_noise, 5 * a.amb_mad)) ELSE greatest(0.1, least(5.0, 5 * a.amb_mad)) END"
     return f"""
-    SELECT trace_id, coalesce(min(CASE WHEN ahead - (p - step) > thr AND row_idx + mc - 1 <= n - 1 THEN row_idx END), max(n) - 1) AS process_start
-    FROM (SELECT *, {d.least_ahead('p', 'mc')} AS ahead
-          FROM (SELECT *, sum(step) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p
-                FROM (SELECT s.trace_id, s.row_idx, s.n, s.mc, abs(s.s) - abs(a.drift) AS step, {bound} AS thr
-                      FROM slp s JOIN amb a ON a.trace_id = s.trace_id JOIN rep r ON r.trace_id = s.trace_id) q) q) q
-    GROUP BY trace_id"""
+    SELECT s.trace_id, s.row_idx, s.n, s.mc, abs(s.s) - abs(a.drift) AS step, {bound} AS thr
+    FROM slp s JOIN amb a ON a.trace_id = s.trace_id JOIN rep r ON r.trace_id = s.trace_id"""
 
 
 def _boundaries(d: Dialect) -> str:
@@ -205,8 +195,8 @@ def _constants(d: Dialect) -> str:
 
 
 def _tolerance(d: Dialect) -> str:
-    # an explicit tolerance of the profile wins over the derived one; the example profile gives one for dwells only
-    explicit = {"ramp_deviation": None, "dwell_setpoint_deviation": 2.0}
+    # an explicit tolerance of the profile wins over the derived one
+    explicit = {"ramp_deviation": d.profile.ramp_deviation, "dwell_setpoint_deviation": d.profile.dwell_deviation}
     derived = {"ramp_deviation": "ramp_deviation", "dwell_setpoint_deviation": "dwell_deviation"}
     return " UNION ALL ".join(
         f"SELECT trace_id, '{name}' AS parameter_name, {derived[name] if value is None else d.number(value)} AS tolerance_c, '{'ADAPTIVE_DERIVED' if value is None else 'EXPLICIT_PROFILE'}' AS tolerance_source FROM adc"
@@ -411,16 +401,21 @@ def _cycle_metrics(d: Dialect, own: bool = False) -> str:
 
 
 def _results(d: Dialect) -> str:
-    # limits are parameters of a requirement profile; these are the example profile's, its "report only" limits left out
+    # traces whose quality blocks a decision have no results
+    p, least = d.profile, lambda side: f"CASE WHEN m.direction = 'HEATING' THEN {d.number(d.profile.heating_rate * side)} ELSE {d.number(d.profile.cooling_rate * side)} END"
+    rate, kept = (f"CASE WHEN m.direction = 'HEATING' THEN m.{c} ELSE abs(m.{c}) END" for c in ("robust", "sustained"))
     return f"""
-    SELECT trace_id, region_id, 'RAMP_RATE_' || direction AS requirement, abs(robust) AS measured, 1.0 AS required,
-           CASE WHEN abs(robust) >= 1.0 AND abs(sustained) >= 0.8 THEN 'PASS' WHEN abs(robust) >= 1.0 THEN 'PASS_WITH_WARNINGS' ELSE 'FAIL' END AS status FROM rmm
-    UNION ALL
-    SELECT w.trace_id, w.region_id, 'DWELL_DURATION', w.duration, q.med, CASE WHEN abs(w.duration - q.med) <= 2 * q.sd THEN 'PASS' ELSE 'FAIL' END
-    FROM dwm w JOIN (SELECT trace_id, {d.median('duration')} AS med, stddev_pop(duration) AS sd FROM dwm WHERE label <> 'AMBIENT_START' GROUP BY trace_id) q ON q.trace_id = w.trace_id WHERE w.label <> 'AMBIENT_START'
-    UNION ALL
-    SELECT w.trace_id, w.region_id, 'SETPOINT_DEVIATION', w.deviation, c.dwell_deviation, CASE WHEN w.deviation <= c.dwell_deviation THEN 'PASS' ELSE 'FAIL' END
-    FROM dwm w JOIN adc c ON c.trace_id = w.trace_id WHERE w.label <> 'AMBIENT_START'"""
+    SELECT q.trace_id, q.region_id, q.requirement, q.measured, q.required, q.status
+    FROM (SELECT m.trace_id, m.region_id, 'RAMP_RATE_' || m.direction AS requirement, {rate} AS measured, {least(1.0)} AS required,
+                 CASE WHEN {rate} < {least(1.0)} THEN 'FAIL' WHEN {kept} >= {least(p.sustained_ratio)} THEN 'PASS' ELSE 'PASS_WITH_WARNINGS' END AS status FROM rmm m
+          UNION ALL
+          SELECT w.trace_id, w.region_id, 'DWELL_DURATION', w.duration, q.med, CASE WHEN abs(w.duration - q.med) <= {d.number(p.duration_sigmas)} * q.sd THEN 'PASS' ELSE 'FAIL' END
+          FROM dwm w JOIN (SELECT trace_id, {d.median('duration')} AS med, stddev_pop(duration) AS sd FROM reg WHERE label IN ('HOT_DWELL', 'COLD_DWELL') GROUP BY trace_id) q ON q.trace_id = w.trace_id
+          WHERE w.label <> 'AMBIENT_START'
+          UNION ALL
+          SELECT w.trace_id, w.region_id, 'SETPOINT_DEVIATION', w.deviation, t.tolerance_c, CASE WHEN w.deviation <= t.tolerance_c THEN 'PASS' ELSE 'FAIL' END
+          FROM dwm w JOIN tol t ON t.trace_id = w.trace_id AND t.parameter_name = 'dwell_setpoint_deviation' WHERE w.label <> 'AMBIENT_START') q
+    JOIN gate g ON g.trace_id = q.trace_id WHERE NOT g.blocked AND NOT g.blocks_pass_fail"""
 
 
 def _phases(d: Dialect) -> str:
@@ -429,6 +424,34 @@ def _phases(d: Dialect) -> str:
     FROM res WHERE status <> 'NOT_APPLICABLE' GROUP BY trace_id, region_id"""
 
 
+def _overall(d: Dialect) -> str:
+    pct = "CASE WHEN coalesce(p.phases, 0) > 0 THEN p.passed * 1e2 / p.phases ELSE 0.0 END"
+    return f"""
+    SELECT g.trace_id, coalesce(p.phases, 0) AS phases, coalesce(p.passed, 0) AS passed, coalesce(p.failed, 0) AS failed, coalesce(p.anomalies, 0) AS anomalies, {pct} AS conformance_pct,
+           CASE WHEN g.blocked OR g.blocks_pass_fail THEN 'INCONCLUSIVE' WHEN {pct} >= {d.number(d.profile.conformance_pct)} THEN 'PASS' ELSE 'FAIL' END AS status
+    FROM gate g
+    LEFT JOIN (SELECT trace_id, count(*) AS phases, sum(CASE WHEN worst <= 2 THEN 1 ELSE 0 END) AS passed, sum(CASE WHEN worst = 4 THEN 1 ELSE 0 END) AS failed,
+                      sum(CASE WHEN worst >= 2 THEN 1 ELSE 0 END) AS anomalies FROM phs GROUP BY trace_id) p ON p.trace_id = g.trace_id"""
+
+
+def _sustained(d: Dialect) -> str:
+    least = f"CASE WHEN direction = 'HEATING' THEN {d.number(d.profile.heating_rate * d.profile.sustained_ratio)} ELSE {d.number(d.profile.cooling_rate * d.profile.sustained_ratio)} END"
+    return f"SELECT trace_id, region_id, abs(sustained) >= {least} AS sustained_ok FROM rmm"
+
+
+def _dwell_limits(d: Dialect) -> str:
+    return f"""
+    SELECT trace_id, region_id, overshoot, overshoot <= {d.number(d.profile.overshoot_c)} AS overshoot_within, settling_s, settling_s <= {d.number(d.profile.settling_s)} AS settling_within
+    FROM dwm WHERE label <> 'AMBIENT_START'"""
+
+
+def _cycle_count(d: Dialect) -> str:
+    most = "true" if d.profile.most_cycles is None else f"coalesce(c.complete, 0) <= {d.profile.most_cycles}"
+    return f"""
+    SELECT g.trace_id, coalesce(c.complete, 0) AS complete_cycles, coalesce(c.complete, 0) >= {d.profile.least_cycles} AND {most} AS enough
+    FROM gate g LEFT JOIN (SELECT trace_id, sum(CASE WHEN status = 'COMPLETE' THEN 1 ELSE 0 END) AS complete FROM cyc GROUP BY trace_id) c ON c.trace_id = g.trace_id"""
+
+
 def _distribution(d: Dialect) -> str:
     parts = [
         ("ramp_shape", "rmm", "robust", "robust <> 0"), ("ramp_duration", "rmm", "stall_s", ""), ("robust_rate", "rmm", "robust", "robust <> 0"),
@@ -456,24 +479,28 @@ def _consistency(d: Dialect) -> str:
 
 
 def _sequence(d: Dialect) -> str:
-    """Expected phases found in order, each after the one before (the earliest that fits)."""
+    """Expected phases found in order, each after the one before (the earliest that fits), and those not found."""
+    expected = d.profile.sequence
     sql = "SELECT trace_id, CAST(-1 AS BIGINT) AS at, 0 AS found FROM reg GROUP BY trace_id"
-    for label in EXPECTED:
+    for place, label in enumerate(expected):
         sql = f"""SELECT q.trace_id, max(q.at) AS at0, min(CASE WHEN g.label = '{label}' AND g.region_no > q.at THEN g.region_no END) AS next_, max(q.found) AS found0
             FROM ({sql}) q JOIN reg g ON g.trace_id = q.trace_id GROUP BY q.trace_id"""
-        sql = f"SELECT trace_id, coalesce(next_, at0) AS at, found0 + CASE WHEN next_ IS NOT NULL AND found0 = {EXPECTED.index(label)} THEN 1 ELSE 0 END AS found FROM ({sql}) q"
-    return sql
+        sql = f"SELECT trace_id, coalesce(next_, at0) AS at, found0 + CASE WHEN next_ IS NOT NULL AND found0 = {place} THEN 1 ELSE 0 END AS found FROM ({sql}) q"
+    arms = " ".join(f"WHEN {k} THEN '{', '.join(expected[k:])}'" for k in range(len(expected) + 1))
+    return f"SELECT trace_id, found, CASE found {arms} END AS missing FROM ({sql}) q"
 
 
 STAGES: dict[str, Callable[[Dialect], str]] = {
-    "flg": _flags, "rep": _report, "qlt": _quality, "gate": _gate, "slp": _slope_rows, "bth": _thresholds, "bnd0": _ends, "amb": _ambient, "cus": _cusum,
+    "flg": _flags, "rep": _report, "qlt": _quality, "gate": _gate, "slp": _slope_rows, "bth": _thresholds, "bnd0": _ends, "amb": _ambient, "cst": _cusum_steps,
     "bnd": _boundaries, "plt": _plateaus, "stb": _stable, "spt": _setpoints, "adc": _constants, "tol": _tolerance, "run": _runs, "rrn": _region_runs, "mrg": _merged,
     "rgr": _region_rows, "reg": _regions, "evd": _evidence, "rmr": _ramp_rows, "env": _envelope, "vrr0": _valid_rows, "vrm": _valid_ramps, "vrr": _valid_ramp_rows,
     "rmm": _ramp_metrics, "dwr": _dwell_rows, "dwm": _dwell_metrics, "dws": _dwell_order, "cyb": _cycle_bounds, "cyc": _cycles, "cym": _cycle_metrics,
-    "cyo": lambda d: _cycle_metrics(d, own=True), "res": _results, "phs": _phases, "dst": _distribution, "seq": _sequence, "drf": _drift, "cns": _consistency,
+    "cyo": lambda d: _cycle_metrics(d, own=True), "res": _results, "phs": _phases, "ovr": _overall, "cyn": _cycle_count, "sus": _sustained, "dwl": _dwell_limits, "dst": _distribution, "seq": _sequence, "drf": _drift, "cns": _consistency,
 }
 
 _FRAME = "ROWS BETWEEN half PRECEDING AND half FOLLOWING"
+#: Stages that depend on the profile.
+PROFILED = frozenset("tol res phs ovr cyn seq sus dwl".split())
 #: What operators make on Spark, as SQL for DuckDB.
 DUCK_SOURCES = {
     "can": """
@@ -500,6 +527,11 @@ DUCK_SOURCES = {
                       FROM (SELECT can.trace_id, row_idx, t, x, sp, half, mb, coalesce(lead(t) OVER (w), t) AS t_next, coalesce(lag(t) OVER (w), t) AS t_prev,
                                    coalesce(lead(x) OVER (w), x) AS x_next, coalesce(lag(x) OVER (w), x) AS x_prev
                             FROM can JOIN par ON par.trace_id = can.trace_id WINDOW w AS (PARTITION BY can.trace_id ORDER BY row_idx)) q) q) q) q""",
+    "cus": f"""
+    SELECT trace_id, coalesce(min(CASE WHEN ahead - (p - step) > thr AND row_idx + mc - 1 <= n - 1 THEN row_idx END), max(n) - 1) AS process_start
+    FROM (SELECT *, min(p) OVER ({W} ROWS BETWEEN CURRENT ROW AND mc - 1 FOLLOWING) AS ahead
+          FROM (SELECT *, sum(step) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM cst) q) q
+    GROUP BY trace_id""",
     "slopes": """
     SELECT r.trace_id, r.region_no, r.robust, s.sustained, e.endpoint
     FROM (SELECT a.trace_id, a.region_no, coalesce(median((b.x - a.x) / (b.t - a.t)) * 60, 0) AS robust

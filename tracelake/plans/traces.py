@@ -5,16 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tracelake.operators.signal import canonical_trace, trace_frames, trace_signals
+from tracelake.functions.profiles import REPORT_ONLY, STANDARD, Profile
+from tracelake.operators.signal import canonical_trace, sustained_start, trace_frames, trace_signals
 from tracelake.operators.slopes import ramp_slopes
-from tracelake.plans.stages import DUCK_SOURCES, EXPECTED, STAGES, Dialect, doubles, needs, render
-from tracelake.session import materialize, table
+from tracelake.plans.stages import DUCK_SOURCES, PROFILED, STAGES, Dialect, doubles, needs, render
+from tracelake.session import fingerprint, table, use_utc, write_shared
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: More distinct frame sizes than this in one data set can't become one statement.
-MOST_FRAMES = 256
 
 
 def _r(columns: str, digits: int = 6) -> str:
@@ -36,7 +35,6 @@ def _n(columns: str) -> str:
 
 
 _RANK = "CASE worst WHEN 4 THEN 'FAIL' WHEN 3 THEN 'INCONCLUSIVE' WHEN 2 THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END"
-_PASSED = "sum(CASE WHEN worst <= 2 THEN 1 ELSE 0 END)"
 _RESULT = f"trace_id, region_id, requirement, {_r('measured, required')}, status"
 
 #: The last SELECT of each query.
@@ -91,16 +89,16 @@ SELECTS: dict[str, str] = {
     "cycle_metrics": f"SELECT trace_id, cycle_id, {_r('duration, heat_avg, heat_min, cool_avg, cool_max, jitter, taper, stability, overshoot, ramp_s, dwell_s', 8)} FROM cym",
     "cycle_metrics_own": f"SELECT trace_id, cycle_id, {_r('duration, heat_avg, heat_min, cool_avg, cool_max, jitter, taper, stability, overshoot, ramp_s, dwell_s', 8)} FROM cyo",
     "validate_ramps": f"SELECT {_RESULT} FROM res WHERE requirement LIKE 'RAMP_RATE%'",
-    "validate_sustained": "SELECT trace_id, region_id, abs(sustained) >= 1.0 * 0.8 AS sustained_ok FROM rmm",
+    "validate_sustained": "SELECT trace_id, region_id, sustained_ok FROM sus",
     "validate_dwell_duration": f"SELECT {_RESULT} FROM res WHERE requirement = 'DWELL_DURATION'",
     "validate_setpoint": f"SELECT {_RESULT} FROM res WHERE requirement = 'SETPOINT_DEVIATION'",
-    "validate_overshoot": f"SELECT trace_id, region_id, {_r('overshoot')}, overshoot <= 3.0 AS within FROM dwm WHERE label <> 'AMBIENT_START'",
-    "validate_settling": f"SELECT trace_id, region_id, {_r('settling_s')}, settling_s <= 300.0 AS within FROM dwm WHERE label <> 'AMBIENT_START'",
-    "validate_cycle_count": "SELECT trace_id, CAST(sum(CASE WHEN status = 'COMPLETE' THEN 1 ELSE 0 END) AS BIGINT) AS complete_cycles, sum(CASE WHEN status = 'COMPLETE' THEN 1 ELSE 0 END) >= 1 AS enough FROM cyc GROUP BY trace_id",
-    "validate_sequence": f"SELECT trace_id, CAST(found AS BIGINT) AS phases_found, found = {len(EXPECTED)} AS in_sequence FROM seq",
+    "validate_overshoot": f"SELECT trace_id, region_id, {_r('overshoot')}, overshoot_within AS within FROM dwl",
+    "validate_settling": f"SELECT trace_id, region_id, {_r('settling_s')}, settling_within AS within FROM dwl",
+    "validate_cycle_count": "SELECT trace_id, CAST(complete_cycles AS BIGINT) AS complete_cycles, enough FROM cyn",
+    "validate_sequence": "SELECT trace_id, CAST(found AS BIGINT) AS phases_found, missing = '' AS in_sequence, missing FROM seq",
     "validation_results": f"SELECT {_RESULT} FROM res",
     "phase_conformance": f"SELECT trace_id, region_id, {_RANK} AS worst_status, worst >= 2 AS anomaly FROM phs",
-    "overall_status": f"SELECT trace_id, CAST(count(*) AS BIGINT) AS phases, CAST({_PASSED} AS BIGINT) AS passed, round({_PASSED} * 1e2 / count(*), 4) AS conformance_pct, CASE WHEN {_PASSED} * 1e2 / count(*) >= 95 THEN 'PASS' ELSE 'FAIL' END AS status FROM phs GROUP BY trace_id",
+    "overall_status": f"SELECT trace_id, {_n('phases, passed, failed, anomalies')}, {_r('conformance_pct', 4)}, status FROM ovr",
     "metric_distribution": f"SELECT trace_id, metric, {_r('mean_v, std_v, min_v, max_v', 4)} FROM dst",
     "cycle_drift_detect": f"SELECT trace_id, drift_detected, {_r('heating_slope, cooling_slope, dwell_stability, cycle_duration', 4)} FROM drf",
     "consistency_score": f"SELECT trace_id, {_r('score', 4)} FROM cns",
@@ -114,26 +112,30 @@ SELECTS: dict[str, str] = {
     "audit_head": f"SELECT trace_id, region_id, requirement, status FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY region_id, requirement) AS seq FROM res) q WHERE seq <= 50",
 }
 #: Stages written when they are made, as others read them several times; the rest is part of its reader's plan.
-CUT = frozenset("rep bth bnd0 amb cus bnd spt adc rrn mrg rgr reg env vrm vrr rmm dwm cyb cyc cym cyo res phs".split())
+CUT = frozenset("rep bth bnd0 amb bnd spt adc rrn mrg rgr reg env vrm vrr rmm dwm cyb cyc cym cyo res phs".split())
 
 
 class TraceAnalysis:
-    """The stages of one data set on Spark, each made at most once and only when something reads it.
+    """The stages of one data set on Spark, each written stage made at most once and only when something reads it.
 
     Like the pipeline it stands for, it makes a stage from the finished stages before it: written to the shared folder,
-    a stage's plan stays as small as one step, and a lost executor costs the running step only.
+    a stage's plan stays as small as one step, and a lost executor costs the running step only. What is not written is
+    part of the statement that reads it, and every statement reads the written stages anew, so no plan depends on which
+    queries ran before.
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
-        self.made: dict[str, DataFrame] = {}
-        self.dialect = Dialect(duck=False)
+        self.made: dict[tuple[str, Profile | None], tuple[str, StructType]] = {}
 
-    def stage(self, name: str) -> DataFrame:
-        if name not in self.made:
-            df = self._source(name) if name in DUCK_SOURCES else self.run(STAGES[name](self._ready(name)))
-            self.made[name] = materialize(df) if name in CUT or name in DUCK_SOURCES else df
-        return self.made[name]
+    def stage(self, name: str, profile: Profile = STANDARD) -> DataFrame:
+        """A written stage, made if it is not there yet."""
+        key = (name, profile if name in PROFILED else None)
+        if key not in self.made:
+            df = self._source(name) if name in DUCK_SOURCES else self.run(STAGES[name](Dialect(duck=False, profile=profile)), profile)
+            self.made[key] = (write_shared(df), df.schema)
+        path, schema = self.made[key]
+        return self.spark.read.schema(schema).parquet(path)
 
     def _source(self, name: str) -> DataFrame:
         if name == "can":
@@ -142,45 +144,62 @@ class TraceAnalysis:
             return trace_frames(self.stage("can"))
         if name == "sig":
             return trace_signals(self.stage("can"), self.stage("par"))
+        if name == "cus":
+            return sustained_start(self.run("SELECT * FROM cst"))
         return ramp_slopes(self.stage("vrr").select("trace_id", "region_no", "row_idx", "t", "x", "si"))
 
-    def _ready(self, name: str) -> Dialect:
-        """The dialect, for cus with the frame sizes that occur (one number per size, their count checked)."""
-        if name == "cus":
-            sizes = self.stage("par").select(F.greatest(F.lit(3), F.ceil(F.lit(10) / F.col("si"))).cast("long")).distinct().limit(MOST_FRAMES + 1).collect()
-            if len(sizes) > MOST_FRAMES:
-                raise ValueError(f"more than {MOST_FRAMES} distinct frame sizes")
-            return Dialect(duck=False, starts=sorted(r[0] for r in sizes) or [3])
-        return self.dialect
+    def run(self, select: str, profile: Profile = STANDARD) -> DataFrame:
+        """A SELECT over stages: the written ones as tables, the others put in front of it."""
+        dialect = Dialect(duck=False, profile=profile)
+        tables: dict[str, DataFrame] = {}
+        inline: list[tuple[str, str]] = []
 
-    def run(self, select: str) -> DataFrame:
-        """A SELECT over stages."""
-        used = {name: self.stage(name) for name in needs(select)}
-        tables = ", ".join(f"{n} AS (SELECT * FROM {{{n}}})" for n in used)
-        return self.spark.sql(doubles(f"WITH {tables} {select}"), **used)
+        def visit(sql: str) -> None:
+            for name in needs(sql):
+                if name in tables or any(n == name for n, _ in inline):
+                    continue
+                if name in CUT or name in DUCK_SOURCES:
+                    tables[name] = self.stage(name, profile)
+                else:
+                    body = STAGES[name](dialect)
+                    visit(body)
+                    inline.append((name, body))
+
+        visit(select)
+        parts = [f"{n} AS (SELECT * FROM {{{n}}})" for n in tables] + [f"{n} AS ({body})" for n, body in inline]
+        return self.spark.sql(doubles(f"WITH {', '.join(parts)} {select}" if parts else select), **tables)
 
 
 _analyses: dict[tuple, TraceAnalysis] = {}
 
 
-def analysis(spark: SparkSession, folder: str, select: str) -> DataFrame:
+def forget() -> None:
+    """Make all stages anew when they are next read."""
+    _analyses.clear()
+
+
+def analysis(spark: SparkSession, folder: str, select: str, profile: Profile = STANDARD) -> DataFrame:
     """A SELECT over the stages of a folder's trace_rows.
 
-    Stages are shared by the queries of a session as long as the files are the same (name, length and time).
+    Stages are shared by the queries of a session as long as the files are the same (names, lengths and times).
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/trace_rows.parquet")
-    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
-    key = (spark.sparkContext.applicationId, folder, status.getLen(), status.getModificationTime())
+    use_utc(spark)
+    key = (spark.sparkContext.applicationId, folder, fingerprint(spark, f"{folder}/trace_rows.parquet"))
     if key not in _analyses:
         _analyses.clear()
         _analyses[key] = TraceAnalysis(spark, folder)
-    return _analyses[key].run(select)
+    return _analyses[key].run(select, profile)
+
+
+#: Queries that are also there under the profile that only reports.
+REPORTED = ("tolerance", "validation_results", "overall_status", "validate_sequence", "validate_cycle_count")
 
 
 def queries() -> dict[str, Query]:
-    return {name: (lambda s, d, select=select: analysis(s, d, select)) for name, select in SELECTS.items()}
+    out = {name: (lambda s, d, select=select: analysis(s, d, select)) for name, select in SELECTS.items()}
+    return out | {f"{name}_report_only": (lambda s, d, select=SELECTS[name]: analysis(s, d, select, REPORT_ONLY)) for name in REPORTED}
 
 
 def oracle_sql() -> dict[str, str]:
-    duck = Dialect(duck=True)
-    return {name: render(select, duck) for name, select in SELECTS.items()}
+    out = {name: render(select, Dialect(duck=True)) for name, select in SELECTS.items()}
+    return out | {f"{name}_report_only": render(SELECTS[name], Dialect(duck=True, profile=REPORT_ONLY)) for name in REPORTED}

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def build_session(app: str = "tracelake", cpus: str | int = "*", **conf: str) -> SparkSession:
     """A local session with the settings the operators are written for; a cluster brings its own."""
@@ -21,7 +25,26 @@ def build_session(app: str = "tracelake", cpus: str | int = "*", **conf: str) ->
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once an application: they need it wherever the driver was started."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="package-"), "tracelake_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(archive)
 
 
 def use_utc(spark: SparkSession) -> None:
@@ -33,26 +56,61 @@ def use_utc(spark: SparkSession) -> None:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     use_utc(spark)
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def fingerprint(spark: SparkSession, path: str) -> tuple:
+    """Name, length and time of every file of a table: another tuple once any of them is written anew."""
+    files, where = file_system(spark, path)
+    found, out = files.listFiles(where, True), []
+    while found.hasNext():
+        status = found.next()
+        out.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one is set only where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir); unset is an error but on a local master, where one is made."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = "file://" + os.path.abspath(os.environ.get("TRACELAKE_SHARED", "/tmp/tracelake-shared"))
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/tracelake/{spark.sparkContext.applicationId}"
+
+
+def write_shared(df: DataFrame) -> str:
+    """Write rows to the shared folder; the application's tables there are deleted when its JVM ends."""
+    spark = df.sparkSession
+    folder = _own_folder(spark)
+    files, where = file_system(spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    files.deleteOnExit(where)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """The rows written once to the shared folder and read back: cuts the lineage, survives a lost executor."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tracelake/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df))
 
 
 def clean_shared(spark: SparkSession) -> None:
-    """Remove all tables that materialize wrote to the shared folder; results not yet read need them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/tracelake")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Remove all tables of this application from the shared folder; results not yet read need them."""
+    from tracelake.plans import traces
+
+    traces.forget()
+    files, where = file_system(spark, _own_folder(spark))
+    files.delete(where, True)
