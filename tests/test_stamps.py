@@ -59,3 +59,20 @@ def test_dictionary_grows_by_new_strings_only(spark, tmp_path):
 
 def test_empty_tables(spark):
     assert normalised_stamps(*[t.limit(0) for t in tables(spark, [("b", 0, "x")], [("b", "B", datetime(2024, 1, 1))])]).count() == 0
+
+
+def test_any_year_and_bounds_only_where_given(spark):
+    cases = [("u", "2010-02-28T23:59:59", datetime(2010, 2, 28, 23, 59, 59)), ("u", "29/02/2028 00:00:01", datetime(2028, 2, 29, 0, 0, 1)), ("u", "31.12.2031 12:00", datetime(2031, 12, 31, 12)),
+             ("u", "1900-03-01 00:00:00", datetime(1900, 3, 1)), ("u", "1900-02-29 00:00:00", None), ("u", "29/02/2100 10:00:00", None), ("u", "1956528000", datetime(2032, 1, 1))]
+    stamps, files = [(f, i, t) for i, (f, t, _) in enumerate(cases)], [("u", "U", datetime(2032, 1, 2))]
+    assert read(spark, stamps, files) == [w for _, _, w in cases]
+    bounds = {"earliest_us": 1_262_304_000_000_000, "latest_us": 1_300_000_000_000_000}
+    assert [r.reading_id for r in reading_instants(*tables(spark, stamps, files), **bounds).collect()] == [0]
+
+
+def test_a_second_run_parses_nothing_new(spark, tmp_path):
+    book = f"{tmp_path}/book"
+    args = tables(spark, [("b", 0, "2024-06-01T12:00:00"), ("b", 1, "junk"), ("u", 0, "2024-06-01T12:00:00")], [("b", "B", datetime(2024, 6, 2)), ("u", "U", datetime(2024, 6, 2))])
+    first = sorted(reading_instants(*args, dictionary_folder=book).collect())
+    kept = spark.read.parquet(book).count()
+    assert kept == 3 and sorted(reading_instants(*args, dictionary_folder=book).collect()) == first and spark.read.parquet(book).count() == kept

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.operators._groups import salted_join
-from tracelake.session import materialize
+from tracelake.session import file_system, kept_folder, materialize
 
-#: Readings outside these instants (UTC) are no readings.
-EARLIEST, LATEST = "2022-12-30", "2025-08-02"
-#: The earliest registration of a file follows its last reading by at most this.
-INGEST_DAYS = 12
 MINUTE_US, HOUR_US, DAY_US = 60_000_000, 3_600_000_000, 86_400_000_000
+#: Sums over instants are taken from here on (2020-09-13), so that they stay exact enough.
+ORIGIN_US = 1_600_000_000_000_000
+#: A clock that was never set counts from here: such a wall time is no real time.
+UNSET_CLOCK_US = 0
 #: Minutes east of UTC of zone abbreviations.
 ZONE_MINUTES = {
     "Z": 0, "UTC": 0, "GMT": 0, "WET": 0, "BST": 60, "WEST": 60, "CET": 60, "CEST": 120, "EET": 120, "EEST": 180,
@@ -32,8 +32,10 @@ FORMATS = {
     ),
     "slash": (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})[ T]{_TIME}\s*([AaPp][Mm])?{_ZONE}$", (3, 2, 1, 4, 5, 6, 7, 8, 9)),
     "dot": (rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}}),?\s+{_TIME}{_ZONE}$", (3, 2, 1, 4, 5, 6, 7, 0, 8)),
+    "number": (r"^(\d{1,19})(?:[.,](\d+))?$", (1, 0, 0, 0, 0, 0, 2, 0, 0)),
 }
-NUMBER = r"^\d+(?:[.,]\d+)?$"
+#: What a format's parts are joined by once it is told.
+_SEAM = "\u0001"
 
 
 def zone_rule(tz_name: Column, clock_note: Column) -> Column:
@@ -51,22 +53,14 @@ def _us(local: Column) -> Column:
     return F.unix_micros(local.cast("timestamp"))
 
 
-def _wall_us(parts: Column, day: str, month: str) -> Column:
-    """Microseconds of a wall time read as UTC; null if there is no such time. Parts hold texts."""
-    number = lambda name: parts[name].try_cast("int")
-    year = F.when(F.length(parts["year"]) == 2, number("year") + 2000).otherwise(number("year"))
-    named = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(parts[month])).cast("int")
-    month_no = F.when(parts[month].rlike("^[A-Za-z]"), named).otherwise(number(month))
-    hour, half = number("hour"), F.upper(parts["half"])
-    hour = (
-        F.when(half == "", hour)
-        .when((hour < 1) | (hour > 12), None)
-        .otherwise(F.pmod(hour, F.lit(12)) + F.when(half == "PM", 12).otherwise(0))
-    )
-    second = F.coalesce(number("second"), F.lit(0))
-    whole = F.when(second < 60, F.try_make_timestamp_ntz(year, month_no, number(day), hour, number("minute"), second.cast("double")))
-    micro = F.coalesce(F.rpad(parts["fraction"], 6, "0").try_cast("int"), F.lit(0))
-    return _us(whole) + F.when(parts["fraction"] == "", 0).otherwise(micro)
+def _wall_us(month: str, day: str) -> Column:
+    """Microseconds of a wall time read as UTC, by days since 1970 in the Gregorian calendar; null if there is no such time."""
+    leap = "y % 4 = 0 AND (y % 100 <> 0 OR y % 400 = 0)"
+    length = f"CASE WHEN {month} IN (4, 6, 9, 11) THEN 30 WHEN {month} <> 2 THEN 31 WHEN {leap} THEN 29 ELSE 28 END"
+    real = f"{month} BETWEEN 1 AND 12 AND {day} >= 1 AND {day} <= {length} AND h < 24 AND mi < 60 AND s < 60 AND y >= 1"
+    year = f"(y - CASE WHEN {month} <= 2 THEN 1 ELSE 0 END)"
+    days = f"({year} * 365 + {year} div 4 - {year} div 100 + {year} div 400 + (153 * (({month} + 9) % 12) + 2) div 5 + {day} - 719469)"
+    return F.expr(f"CASE WHEN {real} THEN (({days} * 24L + h) * 60L + mi) * 60000000L + s * 1000000L + micro END")
 
 
 def _zone_minutes(text: Column) -> Column:
@@ -105,43 +99,57 @@ def parse_strings(strings: DataFrame) -> DataFrame:
 
     dmy_us, dmy_again_us: read day first, and its second occurrence; mdy_us, mdy_again_us: read month first (only for
     formats that don't tell); ordered: the format tells the order of day and month; half_day: it has AM or PM.
+
+    A text is matched once by each format until one takes it; its parts then stand in place of it, and all else is
+    arithmetic on them.
     """
-    names = ("year", "month", "day", "hour", "minute", "second", "fraction", "half", "zone")
-    text = F.col("text")
-    parts, kind = F.lit(None), F.lit(None).cast("string")
-    for name, (pattern, places) in reversed(FORMATS.items()):
-        found = F.struct(*[(F.regexp_extract(text, pattern, p) if p else F.lit("")).alias(n) for n, p in zip(names, places)])
-        hit = text.rlike(pattern)
-        kind, parts = F.when(hit, name).otherwise(kind), F.when(hit, found).otherwise(parts)
-    number = F.when(text.rlike(NUMBER), F.replace(text, F.lit(","), F.lit(".")).try_cast("decimal(28,9)"))
-    read = strings.select("text", "rule", kind.alias("kind"), parts.alias("parts"), number.alias("number"))
-
-    n = F.col("number")
+    tagged = F.col("text")
+    for name, (pattern, places) in FORMATS.items():
+        tagged = F.regexp_replace(tagged, pattern, _SEAM + _SEAM.join([name, *(f"${p}" if p else "" for p in places)]))
+    told = strings.select("text", "rule", tagged.alias("t")).select("text", "rule", F.when(F.col("t").startswith(_SEAM), F.split("t", _SEAM)).alias("p"))
+    part = lambda k: F.col("p")[k]
+    whole = lambda k: part(k).try_cast("int")
+    kind = part(1)
+    named = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(part(3))).cast("int")
+    hour = (
+        F.when(part(9) == "", whole(5))
+        .when((whole(5) < 1) | (whole(5) > 12), None)
+        .otherwise(F.pmod(whole(5), F.lit(12)) + F.when(F.upper(part(9)) == "PM", 12).otherwise(0))
+    )
+    read = told.select(
+        "text", "rule", kind.alias("kind"),
+        F.when(F.length(part(2)) == 2, whole(2) + 2000).otherwise(whole(2)).alias("y"),
+        F.when(kind == "month_name", named).otherwise(whole(3)).alias("b"), whole(4).alias("a"), hour.alias("h"), whole(6).alias("mi"),
+        F.coalesce(whole(7), F.lit(0)).alias("s"), F.when(part(8) == "", 0).otherwise(F.rpad(part(8), 6, "0").try_cast("int")).alias("micro"),
+        (part(9) != "").alias("half_day"), _zone_minutes(part(10)).alias("minutes"),
+        F.when(kind == "number", part(2).try_cast("bigint")).alias("n"),
+        # twelve digits of the fraction: of a day they are exact to a tenth of a microsecond
+        F.when(kind == "number", F.rpad(part(8), 12, "0").try_cast("bigint")).alias("part12"),
+    )
+    n, part12 = F.col("n"), F.coalesce("part12", F.lit(0))
     epoch = (
-        F.when(n.between(10**9, 10**10 - 1), n * 10**6)
-        .when(n.between(10**12, 10**13 - 1), n * 10**3)
+        F.when(n.between(10**9, 10**10 - 1), n * 10**6 + F.floor(part12 / 10**6))
+        .when(n.between(10**12, 10**13 - 1), n * 10**3 + F.floor(part12 / 10**9))
         .when(n.between(10**15, 10**16 - 1), n)
-        .when(n.between(10**18, 9 * 10**18), n / 10**3)
+        .when(n >= 10**18, F.expr("n div 1000"))
     ).cast("long")
-    serial = F.when(n.between(30000, 60000), F.round((n - 25569) * DAY_US, 0).cast("long"))
-    minutes = _zone_minutes(F.col("parts")["zone"])
-    staged = read.select(
-        "text", "rule", "kind", minutes.alias("minutes"), epoch.alias("epoch"),
-        (F.col("parts")["half"] != "").alias("half_day"),
-        F.coalesce(_wall_us(F.col("parts"), "day", "month"), serial).alias("dmy"),
-        F.when(F.col("kind").isin("slash", "dot"), _wall_us(F.col("parts"), "month", "day")).alias("mdy"),
+    serial = F.when(n.between(30000, 60000), (n - 25569) * DAY_US + F.round(part12 * 0.0864).cast("long"))
+    dated = F.col("kind") != "number"
+    timed = read.select(
+        "text", "rule", "kind", "minutes", "half_day", epoch.alias("epoch"), F.when(dated, _wall_us("b", "a")).otherwise(serial).alias("dmy"),
+        F.when(F.col("kind").isin("slash", "dot"), _wall_us("a", "b")).alias("mdy"),
     )
+    real = lambda c: F.when(F.col(c) != UNSET_CLOCK_US, F.col(c)).alias(c)
+    timed = timed.select("text", "rule", "kind", "minutes", "half_day", "epoch", real("dmy"), real("mdy"))
     out = {}
     for order in ("dmy", "mdy"):
         first, again = _instants(F.col(order), F.col("rule"))
-        told = F.col(order) - F.col("minutes").cast("long") * MINUTE_US
-        out[order] = F.when(F.col("minutes").isNotNull(), told).otherwise(first)
+        said = F.col(order) - F.col("minutes").cast("long") * MINUTE_US
+        out[order] = F.when(F.col("minutes").isNotNull(), said).otherwise(first)
         out[f"{order}_again"] = F.when(F.col("minutes").isNull(), again)
     out["dmy"] = F.coalesce(F.col("epoch"), out["dmy"])
-    low, high = (_us(F.lit(day).cast("timestamp")) for day in (EARLIEST, LATEST))
-    kept = {name: F.when(c.between(low, high), c).alias(f"{name}_us") for name, c in out.items()}
-    return staged.select(
-        "text", "rule", *kept.values(), (~F.coalesce(F.col("kind").isin("slash", "dot"), F.lit(False))).alias("ordered"),
+    return timed.select(
+        "text", "rule", *[c.alias(f"{name}_us") for name, c in out.items()], (~F.coalesce(F.col("kind").isin("slash", "dot"), F.lit(False))).alias("ordered"),
         F.coalesce("half_day", F.lit(False)).alias("half_day"),
     )
 
@@ -156,21 +164,32 @@ def stamp_dictionary(strings: DataFrame, folder: str | None = None) -> DataFrame
     if folder is None:
         return materialize(parse_strings(distinct))
     spark = strings.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    files, path = file_system(spark, folder)
+    if files.exists(path):
         distinct = distinct.join(spark.read.parquet(folder).select("text", "rule"), ["text", "rule"], "left_anti")
     parse_strings(distinct).write.mode("append").parquet(folder)
     return spark.read.parquet(folder)
 
 
+def session_dictionary(spark) -> str:
+    """The folder of the dictionary that the queries of an application share and extend, one query at a time."""
+    return kept_folder(spark, "stamp-dictionary")
+
+
 def normalised_stamps(
-    reading_stamps: DataFrame, file_metadata: DataFrame, loggers: DataFrame, dictionary_folder: str | None = None
+    reading_stamps: DataFrame,
+    file_metadata: DataFrame,
+    loggers: DataFrame,
+    dictionary_folder: str | None = None,
+    earliest_us: int | None = None,
+    latest_us: int | None = None,
 ) -> DataFrame:
     """One UTC instant per reading: (reading_id, source_file, line_no, stamp_text, utc_us), utc_us null for no real time.
 
     Stamps without zone follow the logger's clock (UTC where logger or zone is unknown). The order of day and month is
-    decided per file: by stamps that only one order can read, else by which order puts the file's last reading up to
-    INGEST_DAYS before its earliest registration, else day first (month first with AM/PM). An hour that occurs twice
+    decided per file: by stamps that only one order can read, else by which order puts the file's last reading nearest
+    before its earliest registration, else day first (month first with AM/PM). Instants outside earliest_us and
+    latest_us, where given, are no real times. An hour that occurs twice
     is told apart by the straight line of instant over line_no through the file's other stamps (readings are evenly
     spaced); without two such stamps the earlier one holds. Null, empty and junk stamps have no instant; rows
     delivered twice come out twice here (once in reading_instants); null line_no only loses the tie-breaking;
@@ -189,12 +208,14 @@ def normalised_stamps(
     stamps = reading_stamps.select("reading_id", "source_file", "line_no", "stamp_text", text.alias("text"))
     placed = salted_join(stamps, rules, "source_file", F.xxhash64("reading_id"), "left").withColumn("rule", F.coalesce("rule", F.lit("UTC")))
     book = stamp_dictionary(placed.filter("text is not null"), dictionary_folder)
+    for name in ("dmy_us", "dmy_again_us", "mdy_us", "mdy_again_us"):
+        inside = F.lit(True) if earliest_us is None else F.col(name) >= earliest_us
+        book = book.withColumn(name, F.when(inside & (F.lit(True) if latest_us is None else F.col(name) <= latest_us), F.col(name)))
     # written once: the facts of the files are gathered from it and joined to it
     read = materialize(placed.join(book, ["text", "rule"], "left").drop("text", "rule"))
     known = F.coalesce("ordered", F.lit(True))
 
-    # centred on the range so that the sums stay exact enough
-    origin = _us(F.lit(EARLIEST).cast("timestamp"))
+    origin = F.lit(ORIGIN_US)
     instants = {"dmy": ("dmy_us", "dmy_again_us"), "mdy": ("mdy_us", "mdy_again_us")}
     pick = lambda order, k: F.col(instants["dmy"][k]) if order == "dmy" else F.when(known, F.col("dmy_us" if k == 0 else "dmy_again_us")).otherwise(F.col(instants["mdy"][k]))
     lines = []
@@ -214,7 +235,7 @@ def normalised_stamps(
     )
     lag = lambda c: F.col("registered_us") - F.col(c)
     # the last reading may lie within the day of registration in another zone's count
-    fits = lambda c: F.coalesce(lag(c).between(-HOUR_US, INGEST_DAYS * DAY_US + HOUR_US), F.lit(False))
+    fits = lambda c: F.coalesce(lag(c) >= -HOUR_US, F.lit(False))
     day_first = (
         F.when(F.col("dmy_only") != F.col("mdy_only"), F.col("dmy_only") > F.col("mdy_only"))
         .when(fits("dmy_last") != fits("mdy_last"), fits("dmy_last"))
@@ -234,7 +255,7 @@ def normalised_stamps(
     )
 
 
-def reading_instants(reading_stamps: DataFrame, file_metadata: DataFrame, loggers: DataFrame) -> DataFrame:
+def reading_instants(reading_stamps: DataFrame, file_metadata: DataFrame, loggers: DataFrame, **options) -> DataFrame:
     """Readings whose stamp is a real time (reading_id, utc_ms), utc_ms rounded to nearest; each reading once."""
-    stamps = normalised_stamps(reading_stamps, file_metadata, loggers).filter("utc_us is not null")
+    stamps = normalised_stamps(reading_stamps, file_metadata, loggers, **options).filter("utc_us is not null")
     return stamps.select("reading_id", F.floor((F.col("utc_us") + 500) / 1000).cast("long").alias("utc_ms")).distinct()

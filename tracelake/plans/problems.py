@@ -19,6 +19,14 @@ def _on(names: str, operator: Callable[..., DataFrame]) -> Query:
     return query
 
 
+def _stamps(operator: Callable[..., DataFrame]) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        tables = [table(spark, folder, name) for name in ("reading_stamps", "file_metadata", "loggers")]
+        return operator(*tables, dictionary_folder=stamps.session_dictionary(spark))
+
+    return query
+
+
 _LINES = "raw_lines file_metadata raw_traces channel_catalog"
 
 
@@ -35,8 +43,8 @@ def queries() -> dict[str, Query]:
         "p5_found": _on(_LINES, rawlines.rejected_lines),
         "p5_rows": _on(_LINES, rawlines.valid_rows),
         "p5_counts": _on(_LINES, rawlines.usable_counts),
-        "p6_found": _on("reading_stamps file_metadata loggers", stamps.reading_instants),
-        "p6_stamps": _on("reading_stamps file_metadata loggers", stamps.normalised_stamps),
+        "p6_found": _stamps(stamps.reading_instants),
+        "p6_stamps": _stamps(stamps.normalised_stamps),
     }
 
 

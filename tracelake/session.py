@@ -91,6 +91,13 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tracelake/{spark.sparkContext.applicationId}"
 
 
+def kept_folder(spark: SparkSession, name: str) -> str:
+    """A named folder of the application in the shared folder, for what its queries share and extend."""
+    files, where = file_system(spark, _own_folder(spark))
+    files.deleteOnExit(where)
+    return f"{_own_folder(spark)}/{name}"
+
+
 def write_shared(df: DataFrame) -> str:
     """Write rows to the shared folder; the application's tables there are deleted when its JVM ends."""
     spark = df.sparkSession
