@@ -13,6 +13,8 @@ from tracelake.operators._groups import salted_join
 
 CHUNK_SLOTS = 4096
 HALO_SLOTS = 64
+#: Readings a slot may have on average before chunks get narrower.
+ROWS_PER_SLOT = 4
 
 
 def micros(ts: str | Column) -> Column:
@@ -58,12 +60,15 @@ def trace_params(rows: DataFrame, chunk_slots: int = CHUNK_SLOTS) -> DataFrame:
         F.coalesce(-F.col("mode.minus"), F.when(mean_step > 0, mean_step), F.lit(1.0)).alias("interval_s"),
         "lo_us",
         "hi_us",
+        "n_rows",
     )
     span = F.col("hi_slot") - F.col("lo_slot") + 1
+    # an interval that is told too long would pile many readings onto a slot: chunks are bounded in rows, too
+    pieces = F.greatest(F.round(span / F.lit(chunk_slots)), F.ceil(F.col("n_rows") / F.lit(ROWS_PER_SLOT * chunk_slots)), F.lit(1))
     return (
         started.withColumn("lo_slot", slot_of("lo_us"))
         .withColumn("hi_slot", slot_of("hi_us"))
-        .withColumn("width", F.ceil(span / F.greatest(F.round(span / F.lit(chunk_slots)), F.lit(1))).cast("long"))
+        .withColumn("width", F.ceil(span / pieces).cast("long"))
         .select("trace_id", "t0_us", "interval_s", "lo_slot", "hi_slot", "width")
     )
 

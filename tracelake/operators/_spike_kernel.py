@@ -7,11 +7,12 @@ from numpy.lib.stride_tricks import sliding_window_view
 
 #: Fixed values of the detector (readings, or multiples of a scale).
 HALF_WINDOW = 5
-MAD_HALF_WINDOW = 12
 SPIKE_WIDTH = 3
 MAD_TO_SIGMA = 1.4826
 CANDIDATE_SCALES = 4.0
 CONFIRM_SCALES = 6.0
+#: Sizes are counted in so many bins an octave; values up to LEAST are nothing.
+BINS, LEAST = 8, 1e-9
 
 
 def rolling_median(values: np.ndarray, half: int) -> np.ndarray:
@@ -33,6 +34,21 @@ def noise_scale(values: np.ndarray) -> float:
     return max(MAD_TO_SIGMA * float(np.median(bends)) / 6**0.5, 0.5 * resolution)
 
 
+def size_bins(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithmic bins and how many sizes each has; -32768 is the bin of those that are nothing."""
+    some = sizes > LEAST
+    bins = np.full(len(sizes), -32768)
+    bins[some] = np.floor(np.log2(sizes[some]) * BINS)
+    return np.unique(bins, return_counts=True)
+
+
+def own_sizes(values: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bends at and steps to the core readings, their neighbours taken from the halo."""
+    steps = np.abs(np.diff(values))[core[1:]]
+    bends = np.abs(values[:-2] - 2 * values[1:-1] + values[2:])[core[1:-1]] if len(values) > 2 else np.zeros(0)
+    return bends, steps
+
+
 def local_rate(values: np.ndarray, half: int = 8) -> np.ndarray:
     """Usual change per reading around each reading."""
     if len(values) < 2:
@@ -40,12 +56,31 @@ def local_rate(values: np.ndarray, half: int = 8) -> np.ndarray:
     return rolling_median(np.append(np.abs(np.diff(values)), 0.0)[: len(values)], half)
 
 
+def hampel(values: np.ndarray, half: int = HALF_WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Distance of each reading from its window's median, and the window's MAD; the window's own slope is taken out.
+
+    The slope is the median of the window's steps: without that, a ramp's MAD would be the ramp's and hide its spikes.
+    """
+    n = len(values)
+    mode = "reflect" if n > half else "edge"
+    if mode == "edge":
+        middle = np.median(values)
+        return np.abs(values - middle), np.full(n, np.median(np.abs(values - middle)))
+    # mirrored through the end points, so that a ramp goes on beyond them
+    padded = np.pad(values, (half, half), mode="reflect", reflect_type="odd")
+    windows = sliding_window_view(padded, 2 * half + 1)
+    slope = np.median(np.diff(windows, axis=1), axis=1)
+    level = windows - slope[:, None] * np.arange(-half, half + 1)[None, :]
+    middle = np.median(level, axis=1)
+    return np.abs(values - middle), np.median(np.abs(level - middle[:, None]), axis=1)
+
+
 def spike_mask(seconds: np.ndarray, values: np.ndarray, noise: float | None = None) -> np.ndarray:
     """Readings in blocks of one to three that stand off from both sides.
 
-    Hampel candidates (distance from the rolling median against the rolling median of such distances) are
-    confirmed against the nearest two readings on either side that are no candidates: each reading of the block
-    must lie outside the hull of those four, and far from the straight line between the sides.
+    Hampel candidates (distance from the rolling median against the window's MAD, at least the trace's noise and the
+    present rate) are confirmed against the nearest two readings on either side that are no candidates: each reading of
+    the block must lie outside the hull of those four, and far from the straight line between the sides.
     """
     n = len(values)
     mask = np.zeros(n, dtype=bool)
@@ -53,10 +88,9 @@ def spike_mask(seconds: np.ndarray, values: np.ndarray, noise: float | None = No
         return mask
     noise = noise_scale(values) if noise is None else noise
     rate = local_rate(values)
-    away = np.abs(values - rolling_median(values, HALF_WINDOW))
-    spread = MAD_TO_SIGMA * rolling_median(away, MAD_HALF_WINDOW)
+    away, mad = hampel(values)
     floor = np.maximum(noise, rate)
-    candidate = away > CANDIDATE_SCALES * np.maximum(spread, floor * 0.75)
+    candidate = away > CANDIDATE_SCALES * np.maximum(MAD_TO_SIGMA * mad, floor * 0.75)
     if not candidate.any():
         return mask
     starts = np.flatnonzero(candidate & ~np.append(False, candidate[:-1]))

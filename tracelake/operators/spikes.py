@@ -40,7 +40,7 @@ def _faults(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
     for table, bounds in groups(batches, ("trace_id", "chunk")):
         cores = table["core"].to_numpy()
-        us, rows, values, temperatures = (numbers(table, n) for n in ("us", "row_idx", "value", "temperature_c"))
+        us, rows, values, temperatures, noises = (numbers(table, n) for n in ("us", "row_idx", "value", "temperature_c", "noise"))
         out: dict[str, list] = {f.name: [] for f in schema}
 
         def put(*row) -> None:
@@ -58,7 +58,7 @@ def _faults(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(found):
                 put(trace, chunk, "impossible", 0, None, len(found), None, None, found)
             fine = at[~impossible]
-            spikes = kernel.spike_mask(us[fine] / 1e6, values[fine])
+            spikes = kernel.spike_mask(us[fine] / 1e6, values[fine], float(noises[a]))
             found = rows[fine[spikes & cores[fine]]]
             if len(found):
                 put(trace, chunk, "spike", 0, None, len(found), None, None, found)
@@ -88,18 +88,23 @@ def faulty_readings(trace_rows: DataFrame, file_metadata: DataFrame) -> DataFram
     )
 
     single = found.filter(F.col("fault") != "run").select("trace_id", F.explode("rows").alias("row_idx"), "fault")
+    # runs inside a chunk are whole; the up to two at each chunk's edges may go on in the next
+    runs = found.filter(F.col("fault") == "run").select("trace_id", "chunk", "place", "value", "n", "touches_left", "touches_right")
     order = Window.partitionBy("trace_id").orderBy("chunk", "place")
-    runs = found.filter(F.col("fault") == "run")
+    at_edge = F.col("touches_left") | F.col("touches_right")
     goes_on = (
         F.col("touches_left")
         & F.lag("touches_right").over(order)
         & (F.lag("value").over(order) == F.col("value"))
         & (F.lag("chunk").over(order) != F.col("chunk"))
     )
-    runs = runs.withColumn("begins", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
-    runs = runs.withColumn("run", F.sum("begins").over(order))
-    whole = runs.groupBy("trace_id", "run").agg(F.sum("n").alias("length"))
-    lengths = whole.filter(F.col("length") >= SHORT_RUN).groupBy("trace_id", "length").agg(F.count(F.lit(1)).alias("n"))
+    edges = runs.filter(at_edge).withColumn("begins", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
+    edges = edges.withColumn("run", F.sum("begins").over(order)).withColumn("length", F.sum("n").over(Window.partitionBy("trace_id", "run")))
+    whole = edges.select("trace_id", "chunk", "place", "length", "begins").unionByName(
+        runs.filter(~at_edge).select("trace_id", "chunk", "place", F.col("n").alias("length"), F.lit(1).alias("begins"))
+    )
+    whole = materialize(whole.filter(F.col("length") >= SHORT_RUN))
+    lengths = whole.filter("begins = 1").groupBy("trace_id", "length").agg(F.count(F.lit(1)).alias("n"))
     shorter = F.lag("length").over(Window.partitionBy("trace_id").orderBy("length"))
     bound = (
         lengths.withColumn("shorter", F.coalesce(shorter, F.lit(0)))
@@ -107,8 +112,9 @@ def faulty_readings(trace_rows: DataFrame, file_metadata: DataFrame) -> DataFram
         .groupBy("trace_id")
         .agg(F.min("length").alias("bound"))
     )
-    stuck_runs = whole.join(bound, "trace_id").filter(F.col("length") >= F.col("bound")).select("trace_id", "run")
-    stuck = runs.join(stuck_runs, ["trace_id", "run"]).select("trace_id", F.explode("rows").alias("row_idx"), F.lit("stuck").alias("fault"))
+    stuck_runs = whole.join(bound, "trace_id").filter(F.col("length") >= F.col("bound")).select("trace_id", "chunk", "place")
+    rows = found.filter(F.col("fault") == "run").select("trace_id", "chunk", "place", "rows")
+    stuck = rows.join(stuck_runs, ["trace_id", "chunk", "place"]).select("trace_id", F.explode("rows").alias("row_idx"), F.lit("stuck").alias("fault"))
     return single.unionByName(stuck).filter(F.col("row_idx") >= 0)
 
 

@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.operators import _unit_kernel as kernel
+from tracelake.operators import _spike_kernel, _unit_kernel as kernel
 from tracelake.operators._groups import groups, numbers
-from tracelake.operators._slots import chunked
+from tracelake.operators._slots import HALO_SLOTS, chunked
 from tracelake.session import materialize
 
 UNITS = kernel.UNITS
@@ -31,14 +30,32 @@ NOTE_PATTERNS = (
     ("K", r"(?i)kelvin|thermodynamic|absolute|temp(erature)? unit ?= ?(deg)? ?k\b"),
     ("C", r"(?i)celsius|metric|temp(erature)? unit ?= ?(deg)? ?c\b"),
 )
+#: Nodes that one node of the next level joins.
+FANOUT = 256
+_EDGES = "first_value double, last_value double, first_scale double, last_scale double, linked_first boolean, linked_last boolean, first_us long, last_us long, interval_s double"
+_NODE_DDL = f"trace_id string, node long, costs array<double>, {_EDGES}"
 _SEGMENT_DDL = (
-    "trace_id string, chunk long, n long, n_setpoint long, costs array<double>, cap double, first_value double, last_value double, "
-    "first_scale double, last_scale double, linked_first boolean, linked_last boolean, first_us long, last_us long, interval_s double, "
+    f"trace_id string, chunk long, costs array<double>, {_EDGES}, n long, n_setpoint long, "
     "pair array<int>, path_us array<long>, path_row array<long>, path_unit array<int>, path_n array<long>, "
     "path_low array<double>, path_high array<double>"
 )
-_STARTS_DDL = "trace_id string, chunk long, start_us array<long>, start_row array<long>, unit array<int>"
-MIN_STRETCH = 40
+_SIZES_DDL = "trace_id string, chunk long, bend array<int>, bend_n array<long>, step array<int>, step_n array<long>"
+_CHOSEN_DDL = "trace_id string, node long, first_unit int, last_unit int"
+_RUN_DDL = "trace_id string, run long, unit int"
+#: A stretch's levels are the extremes of its readings' rolling medians over so many readings on either side.
+LEVEL_HALF = 20
+_KINDS = {
+    "string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(),
+    "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()),
+}
+
+
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(part.split()[0], _KINDS[part.split()[1]]) for part in ddl.split(", ")])
+
+
+def _batch(out: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
 
 
 def unit_told(text: Column, patterns: tuple[tuple[str, str], ...]) -> Column:
@@ -49,42 +66,80 @@ def unit_told(text: Column, patterns: tuple[tuple[str, str], ...]) -> Column:
     return told
 
 
-def _short_stretches(path: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """Inner stretches under MIN_STRETCH readings, as (start, end)."""
-    bounds = [at for at, _ in path] + [n]
-    return [(bounds[i], bounds[i + 1]) for i in range(1, len(path) - 1) if bounds[i + 1] - bounds[i] < MIN_STRETCH]
-
-
-def segment_chunk(us: np.ndarray, rows: np.ndarray, values: np.ndarray, setpoint: np.ndarray, interval: float) -> dict:
-    """Costs and paths of one chunk (see kernel.segment), short faulty stretches and spikes left out first."""
-    again = np.append(False, (us[1:] == us[:-1]) & (rows[1:] == rows[:-1]))
-    keep = np.flatnonzero(~again)
-    keep = keep[kernel.sane(values[keep])]
-    for _ in range(4):
-        cost, paths = kernel.segment(us[keep] / 1e6, values[keep], setpoint[keep], interval)
-        first, last = np.unravel_index(np.argmin(cost), cost.shape)
-        short = _short_stretches(paths[first][last], len(keep))
-        if not short:
-            break
-        drop = np.zeros(len(keep), dtype=bool)
-        for a, b in short:
-            drop[a:b] = True
-        keep = keep[~drop]
-    value, scale = values[keep], np.maximum(kernel.noise_scale(values[keep]), kernel.local_rate(values[keep]))
-    stuck = kernel.frozen(value)
+def _once(us: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Readings that are no copy of the one before."""
+    return np.flatnonzero(np.append(True, (us[1:] != us[:-1]) | (rows[1:] != rows[:-1])))
+
+
+def _chunk_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per chunk how many bends and steps of its readings have which size."""
+    schema = _schema(_SIZES_DDL)
+    for table, bounds in groups(batches, ("trace_id", "chunk")):
+        core = table["core"].to_numpy()
+        us, rows, values, chunks = (numbers(table, n) for n in ("us", "row_idx", "value", "chunk"))
+        out: dict[str, list] = {f.name: [] for f in schema}
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            at = a + _once(us[a:b], rows[a:b])
+            bends, steps = _spike_kernel.own_sizes(values[at], core[at])
+            row = (table["trace_id"][int(a)].as_py(), chunks[a], *_spike_kernel.size_bins(bends), *_spike_kernel.size_bins(steps[steps > _spike_kernel.LEAST]))
+            for name, value in zip(out, row):
+                out[name].append(value)
+        yield _batch(out, schema)
+
+
+def noise_scales(cells: DataFrame) -> DataFrame:
+    """(trace_id, chunk, noise): the noise of each trace, for every chunk of it.
+
+    It is the median of the trace's bends (second differences) as a standard deviation, at least half its usual smallest
+    step (first percentile); both are read from counts by logarithmic size, summed over the chunks, so they do not
+    depend on where a trace is cut. A size is known to 1/16 of an octave.
+    """
+    sizes = materialize(cells.drop("setpoint", "interval_s").mapInArrow(_chunk_sizes, _SIZES_DDL))
+    each = lambda kind: sizes.select("trace_id", F.lit(kind).alias("kind"), F.explode(F.arrays_zip(F.col(kind).alias("bin"), F.col(f"{kind}_n").alias("n"))).alias("x"))
+    counts = each("bend").unionByName(each("step")).groupBy("trace_id", "kind", "x.bin").agg(F.sum("x.n").alias("n"))
+    whole = Window.partitionBy("trace_id", "kind")
+    upto = F.sum("n").over(whole.orderBy("bin"))
+    share = F.when(F.col("kind") == "bend", 0.5).otherwise(0.01)
+    reached = counts.withColumn("upto", upto).withColumn("all", F.sum("n").over(whole)).filter(F.col("upto") >= share * F.col("all"))
+    size = F.when(F.col("bin") > -32768, F.pow(F.lit(2.0), (F.col("bin") + 0.5) / _spike_kernel.BINS)).otherwise(0.0)
+    told = reached.groupBy("trace_id").agg(*[F.min(F.when(F.col("kind") == k, size)).alias(k) for k in ("bend", "step")])
+    noise = F.greatest(F.coalesce("bend", F.lit(0.0)) * _spike_kernel.MAD_TO_SIGMA / 6**0.5, F.coalesce("step", F.lit(0.0)) / 2)
+    return sizes.select("trace_id", "chunk").join(told.select("trace_id", noise.alias("noise")), "trace_id", "left").select(
+        "trace_id", "chunk", F.coalesce("noise", F.lit(0.0)).alias("noise")
+    )
+
+
+def segment_chunk(us: np.ndarray, rows: np.ndarray, values: np.ndarray, setpoint: np.ndarray, core: np.ndarray, interval: float, noise: float) -> dict:
+    """Costs and paths of one chunk's own readings (see kernel.segment), spikes and bursts left out; the halo tells what is around them."""
+    once = _once(us, rows)
+    keep = once[kernel.sane(values[once], noise)]
+    keep = keep[~kernel.bursts(values[keep], noise)]
+    if not core[keep].any():
+        keep = once
+    holes = np.append(0, np.cumsum(np.diff(us[once]) / 1e6 > kernel.HOLE_SLOTS * interval)) if interval > 0 else np.zeros(len(once), dtype=int)
+    holes = holes[np.searchsorted(once, keep)]
+    value, own = values[keep], core[keep]
+    rate, stuck = kernel.local_rate(value), kernel.frozen(value)
+    emission = kernel.emission(value, setpoint[keep])[:, own]
+    level = kernel.rolling_median(value, LEVEL_HALF)[own] if np.isfinite(setpoint[keep]).mean() < 0.1 else np.full(own.sum(), np.nan)
+    keep, value, rate, stuck, holes = keep[own], value[own], rate[own], stuck[own], holes[own]
+    cost, paths = kernel.segment(
+        us[keep] / 1e6, value, setpoint[keep], interval, noise, least=kernel.MIN_STRETCH, refine=True, rows=emission, context=(rate, stuck, np.diff(holes) == 0)
+    )
+    scale, steps = np.maximum(noise, rate), np.abs(np.diff(value)) if len(value) > 1 else np.zeros(1)
     out = {
         "n": len(keep), "n_setpoint": int(np.isfinite(setpoint[keep]).sum()), "costs": cost.ravel(), "first_value": value[0],
-        "last_value": value[-1], "first_scale": scale[0], "last_scale": scale[-1], "linked_first": not stuck[0],
-        "linked_last": not stuck[-1], "first_us": us[keep[0]], "last_us": us[keep[-1]],
+        "last_value": value[-1], "first_scale": max(scale[0], steps[0]), "last_scale": max(scale[-1], steps[-1]), "linked_first": not stuck[0],
+        "linked_last": not stuck[-1], "first_us": us[keep[0]], "last_us": us[keep[-1]], "interval_s": interval,
     }
     columns: dict[str, list] = {name: [] for name in ("pair", "path_us", "path_row", "path_unit", "path_n", "path_low", "path_high")}
-    ends: dict[tuple[int, int], np.ndarray] = {}  # the 16 paths share most of their stretches
+    ends: dict[tuple[int, int], tuple] = {}  # the 16 paths share most of their stretches
     for first in range(kernel.N):
         for last in range(kernel.N):
             path = paths[first][last]
             for (at, unit), end in zip(path, [at for at, _ in path[1:]] + [len(keep)]):
                 if (at, end) not in ends:
-                    ends[at, end] = np.percentile(value[at:end], (5, 95))
+                    ends[at, end] = (level[at:end].min(), level[at:end].max())
                 row = (first * kernel.N + last, us[keep[at]], rows[keep[at]], unit, end - at, *ends[at, end])
                 for name, x in zip(columns, row):
                     columns[name].append(x)
@@ -92,122 +147,126 @@ def segment_chunk(us: np.ndarray, rows: np.ndarray, values: np.ndarray, setpoint
 
 
 def _segment_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [part.split()[0] for part in _SEGMENT_DDL.split(", ")]
-    kinds = {
-        "string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(),
-        "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()),
-    }
-    schema = pa.schema([(part.split()[0], kinds[part.split()[1]]) for part in _SEGMENT_DDL.split(", ")])
+    schema = _schema(_SEGMENT_DDL)
     for table, bounds in groups(batches, ("trace_id", "chunk")):
-        core = table["core"].to_numpy()
-        columns = [numbers(table, n) for n in ("us", "row_idx", "value", "setpoint")]
-        intervals, traces, chunks = numbers(table, "interval_s"), table["trace_id"], numbers(table, "chunk")
-        out: dict[str, list] = {name: [] for name in names}
+        columns = [numbers(table, n) for n in ("us", "row_idx", "value", "setpoint")] + [table["core"].to_numpy()]
+        intervals, noises, chunks = (numbers(table, n) for n in ("interval_s", "noise", "chunk"))
+        out: dict[str, list] = {f.name: [] for f in schema}
         for a, b in zip(bounds[:-1], bounds[1:]):
-            own = core[a:b]
-            if not own.any():
+            if not columns[4][a:b].any():
                 continue
-            parts = [c[a:b][own] for c in columns]
-            found = segment_chunk(*parts, float(intervals[a]))
-            found |= {"trace_id": traces[int(a)].as_py(), "chunk": int(chunks[a]), "cap": 0.0, "interval_s": float(intervals[a])}
-            for name in names:
+            found = segment_chunk(*[c[a:b] for c in columns], float(intervals[a]), float(noises[a]))
+            found |= {"trace_id": table["trace_id"][int(a)].as_py(), "chunk": int(chunks[a])}
+            for name in out:
                 out[name].append(found[name])
         if out["n"]:
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
+            yield _batch(out, schema)
 
 
-def _compose(chunks: pd.DataFrame, prior: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """Cheapest units over the chunks of one trace; per chunk its list of (us, row, unit).
+def _links(table: pa.Table, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Costs of the pieces a .. b-1 of a trace, and of the level shift from each to the next."""
+    part = table.slice(a, b - a)
+    costs = part["costs"].combine_chunks().flatten().to_numpy().reshape(b - a, kernel.N, kernel.N)
+    flag = lambda n: part[n].to_numpy().astype(bool)
+    first_us, last_us, interval = (numbers(part, n) for n in ("first_us", "last_us", "interval_s"))
+    near = (first_us[1:] - last_us[:-1]) / 1e6 <= kernel.HOLE_SLOTS * interval[1:]
+    scale = np.maximum(numbers(part, "first_scale")[1:], numbers(part, "last_scale")[:-1])
+    linked = flag("linked_first")[1:] & flag("linked_last")[:-1] & near
+    return costs, kernel.jump_costs(numbers(part, "last_value")[:-1], numbers(part, "first_value")[1:], scale, linked)
 
-    The chunks' cost tables are joined by min-plus products, with the level shift from one chunk to the next in
-    between; stretches too short to be a unit and, where no setpoint tells, shifts that the trace's own levels
-    contradict are then undone.
-    """
-    n = len(chunks)
-    cost = np.stack([np.asarray(c, dtype=float).reshape(kernel.N, kernel.N) for c in chunks["costs"]])
-    linked = chunks["linked_first"].to_numpy(bool).copy()
-    linked[1:] &= chunks["linked_last"].to_numpy(bool)[:-1]
-    near = (chunks["first_us"].to_numpy()[1:] - chunks["last_us"].to_numpy()[:-1]) / 1e6 <= kernel.HOLE_SLOTS * chunks["interval_s"].to_numpy()[1:]
-    linked[1:] &= near
-    scale = np.maximum(chunks["first_scale"].to_numpy()[1:], chunks["last_scale"].to_numpy()[:-1])
-    shift = kernel.jump_costs(chunks["last_value"].to_numpy()[:-1], chunks["first_value"].to_numpy()[1:], scale, linked[1:])
-    state, back = prior[:, None] + cost[0], []
-    entered = state.argmin(axis=0)
-    back.append(entered)
-    total = state.min(axis=0)
-    for k in range(1, n):
-        enter = (total[:, None] + shift[k - 1]).min(axis=0)
-        came = (total[:, None] + shift[k - 1]).argmin(axis=0)
-        whole = enter[:, None] + cost[k]
-        back.append((whole.argmin(axis=0), came))
-        total = whole.min(axis=0)
-    last = int(total.argmin())
-    pairs: list[tuple[int, int]] = [(0, 0)] * n
-    for k in range(n - 1, 0, -1):
-        first = int(back[k][0][last])
-        pairs[k] = (first, last)
-        last = int(back[k][1][first])
-    pairs[0] = (int(back[0][last]), last)
-
-    stretches: list[list] = []  # chunk, us, row, unit, n, low, high
-    for k, (first, last) in enumerate(pairs):
-        chosen = np.flatnonzero(np.asarray(chunks["pair"].iloc[k]) == first * kernel.N + last)
-        for j in chosen:
-            stretches.append([k] + [chunks[c].iloc[k][j] for c in ("path_us", "path_row", "path_unit", "path_n", "path_low", "path_high")])
-    merged: list[list[list]] = []
-    for s in stretches:
-        if merged and merged[-1][-1][3] == s[3]:
-            merged[-1].append(s)
-        else:
-            merged.append([s])
-    if chunks["n_setpoint"].sum() < 0.1 * chunks["n"].sum():
-        _undo_contradicted(merged)
-    for i in range(1, len(merged) - 1):
-        if sum(s[4] for s in merged[i]) < MIN_STRETCH:
-            for s in merged[i]:
-                s[3] = merged[i - 1][-1][3]
-    out: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
-    for s in stretches:
-        out[s[0]].append((int(s[1]), int(s[2]), int(s[3])))
-    return out
-
-
-def _undo_contradicted(merged: list[list[list]]) -> None:
-    """Undo changes after which the levels fit those before the change only if the unit did not change."""
 
-    def levels(part: list[list], unit: int) -> np.ndarray | None:
-        low, high = (np.array([s[k] for s in part], dtype=float) for k in (5, 6))
-        if not np.isfinite(low).any():
-            return None
-        ends = np.array([np.nanmin(low), np.nanmax(high)])
-        return kernel.SCALE[unit] * ends + kernel.OFFSET[unit]
+def _join_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One node for each group of up to FANOUT nodes that follow each other."""
+    schema = _schema(_NODE_DDL)
+    for table, bounds in groups(batches, ("trace_id", "parent")):
+        out: dict[str, list] = {f.name: [] for f in schema}
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            a, b = int(a), int(b)
+            out["costs"].append(kernel.compose(*_links(table, a, b)).ravel())
+            for name, at in [("trace_id", a), ("interval_s", a)] + [(f"first_{n}", a) for n in ("value", "scale", "us")] + [("linked_first", a)]:
+                out[name].append(table[name][at].as_py())
+            for name in ("last_value", "last_scale", "last_us", "linked_last"):
+                out[name].append(table[name][b - 1].as_py())
+            out["node"].append(table["parent"][a].as_py())
+        yield _batch(out, schema)
+
+
+def _choose_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First and last unit of each node, from those of the node that it was joined to."""
+    schema = _schema(_CHOSEN_DDL)
+    for table, bounds in groups(batches, ("trace_id", "parent")):
+        out: dict[str, list] = {f.name: [] for f in schema}
+        nodes = numbers(table, "node")
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            a, b = int(a), int(b)
+            pairs = kernel.descend(*_links(table, a, b), table["first_unit"][a].as_py(), table["last_unit"][a].as_py())
+            out["trace_id"] += [table["trace_id"][a].as_py()] * (b - a)
+            out["node"] += nodes[a:b].tolist()
+            out["first_unit"] += [p[0] for p in pairs]
+            out["last_unit"] += [p[1] for p in pairs]
+        yield _batch(out, schema)
 
-    for i in range(1, len(merged)):
-        before, after = merged[i - 1][-1][3], merged[i][-1][3]
-        if before == after:
-            continue
-        left = levels([s for part in merged[:i] for s in part if s[3] == before], before)
-        changed, same = levels(merged[i], after), levels(merged[i], before)
-        if left is None or changed is None or left[1] - left[0] < 20:
-            continue
-        if np.abs(same - left).max() < 5 < np.abs(changed - left).max() - 5:
-            for s in merged[i]:
-                s[3] = before
 
+def _grouped(nodes: DataFrame, run, ddl: str) -> DataFrame:
+    return nodes.repartition("trace_id", "parent").sortWithinPartitions("trace_id", "parent", "node").mapInArrow(run, ddl)
 
-def _trace_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema(
-        [("trace_id", pa.string()), ("chunk", pa.int64()), ("start_us", pa.list_(pa.int64())), ("start_row", pa.list_(pa.int64())), ("unit", pa.list_(pa.int32()))]
-    )
+
+def chosen_units(chunks: DataFrame, priors: DataFrame) -> DataFrame:
+    """(trace_id, node, first_unit, last_unit): the units at both ends of each chunk on the cheapest way through its trace.
+
+    Cost tables compose by min-plus products, which associate: FANOUT chunks that follow each other become a node, FANOUT
+    nodes one of the next level, up to one per trace. There the ends are chosen, and from there down the ends of the
+    nodes below; no task ever sees more than FANOUT nodes of a trace at once.
+    """
+    names = [part.split()[0] for part in _NODE_DDL.split(", ")]
+    levels = [chunks.withColumnRenamed("chunk", "node").select(*names)]
+    parent = F.floor(F.col("node") / FANOUT).cast("long").alias("parent")
+    most = levels[0].agg(F.max("node")).first()[0] or 0  # one number
+    while most > 0:
+        levels.append(materialize(_grouped(levels[-1].select("*", parent), _join_nodes, _NODE_DDL)))
+        most //= FANOUT
+    ways = F.array(*[F.struct((F.col("prior")[i] + F.col("costs")[i * kernel.N + j]).alias("cost"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(kernel.N) for j in range(kernel.N)])
+    best = F.array_min(ways)
+    top = levels.pop().join(priors, "trace_id")
+    chosen = top.select("trace_id", "node", best["i"].alias("first_unit"), best["j"].alias("last_unit"))
+    for level in reversed(levels):
+        above = chosen.withColumnRenamed("node", "parent")
+        chosen = _grouped(level.select("*", parent).join(above, ["trace_id", "parent"]), _choose_nodes, _CHOSEN_DDL)
+    return chosen
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units of the runs of a trace that has several: changes its own levels contradict and runs that are too short are undone."""
+    schema = _schema(_RUN_DDL)
     for table, bounds in groups(batches, ("trace_id",)):
-        frame = table.to_pandas()
-        out: dict[str, list] = {f.name: [] for f in schema}
+        units, sizes, low, high = (numbers(table, n).copy() for n in ("unit", "n", "low", "high"))
+        bare = table["bare"].to_numpy()
         for a, b in zip(bounds[:-1], bounds[1:]):
-            part = frame.iloc[a:b]
-            for chunk, starts in zip(part["chunk"], _compose(part, np.asarray(part["prior"].iloc[0], dtype=float))):
-                for name, value in zip(out, (part["trace_id"].iloc[0], chunk, *map(list, zip(*starts)))):
-                    out[name].append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
+            if bare[a]:
+                _undo_contradicted(units[a:b], low[a:b], high[a:b])
+            for i in range(a + 1, b - 1):
+                if sizes[i] < kernel.MIN_STRETCH:
+                    units[i] = units[i - 1]
+        yield pa.RecordBatch.from_arrays([table["trace_id"].combine_chunks().cast(pa.string()), table["run"].combine_chunks(), pa.array(units, type=pa.int32())], schema=schema)
+
+
+def _undo_contradicted(units: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+    """Undo changes after which the levels fit those before the change only if the unit did not change."""
+
+    def levels(lowest: float, highest: float, unit: int) -> np.ndarray:
+        return kernel.SCALE[unit] * np.array([lowest, highest]) + kernel.OFFSET[unit]
+
+    for i in range(1, len(units)):
+        before, after = int(units[i - 1]), int(units[i])
+        if before == after or not (np.isfinite(low[i]) and np.isfinite(low[:i]).any()):
+            continue
+        earlier = units[:i] == before
+        if not np.isfinite(low[:i][earlier]).any():
+            continue
+        left = levels(np.nanmin(low[:i][earlier]), np.nanmax(high[:i][earlier]), before)
+        changed, same = levels(low[i], high[i], after), levels(low[i], high[i], before)
+        if left[1] - left[0] >= 20 and np.abs(same - left).max() < 5 < np.abs(changed - left).max() - 5:
+            units[i] = before
 
 
 def _priors(chunks: DataFrame, trace_rows: DataFrame, file_metadata: DataFrame) -> DataFrame:
@@ -247,23 +306,44 @@ def _priors(chunks: DataFrame, trace_rows: DataFrame, file_metadata: DataFrame)
     return told.select("trace_id", F.array(*prior).alias("prior"))
 
 
-def unit_starts(cells: DataFrame, trace_rows: DataFrame, file_metadata: DataFrame) -> DataFrame:
-    """Per trace and chunk, the readings at which a unit begins to hold (arrays start_us, start_row, unit)."""
-    chunks = materialize(cells.mapInArrow(_segment_chunks, _SEGMENT_DDL))
-    known = chunks.join(_priors(chunks, trace_rows, file_metadata), "trace_id")
-    ordered = known.repartition("trace_id").sortWithinPartitions("trace_id", "chunk")
-    return materialize(ordered.mapInArrow(_trace_starts, _STARTS_DDL))
+def unit_starts(cells: DataFrame, noise: DataFrame, trace_rows: DataFrame, file_metadata: DataFrame) -> DataFrame:
+    """Per trace and chunk, the readings at which a unit begins to hold (arrays start_us, start_row, unit), and the noise."""
+    judged = cells.join(noise, ["trace_id", "chunk"]).sortWithinPartitions("trace_id", "chunk", "us", "row_idx")
+    chunks = materialize(judged.mapInArrow(_segment_chunks, _SEGMENT_DDL))
+    chosen = chosen_units(chunks, _priors(chunks, trace_rows, file_metadata)).withColumnRenamed("node", "chunk")
+    zipped = F.arrays_zip("pair", "path_us", "path_row", "path_unit", "path_n", "path_low", "path_high")
+    own = F.filter(zipped, lambda x: x["pair"] == F.col("first_unit") * kernel.N + F.col("last_unit"))
+    stretches = chunks.join(chosen, ["trace_id", "chunk"]).select("trace_id", "chunk", "n_setpoint", F.col("n").alias("n_chunk"), F.posexplode(own).alias("place", "x"))
+    order = Window.partitionBy("trace_id").orderBy("chunk", "place")
+    begins = F.coalesce(F.lag("x.path_unit").over(order) != F.col("x.path_unit"), F.lit(False)).cast("long")
+    stretches = stretches.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order))
+    stretches = materialize(stretches.select("trace_id", "chunk", "place", "run", "n_setpoint", "n_chunk", "x.*"))
+    finite = lambda c: F.when(~F.isnan(c), F.col(c))
+    runs = stretches.groupBy("trace_id", "run").agg(
+        F.max("path_unit").alias("unit"), F.sum("path_n").alias("n"), F.min(finite("path_low")).alias("low"), F.max(finite("path_high")).alias("high")
+    )
+    first = F.col("place") == 0
+    bare = stretches.groupBy("trace_id").agg(
+        F.max("run").alias("last_run"), (F.sum(F.when(first, F.col("n_setpoint"))) < 0.1 * F.sum(F.when(first, F.col("n_chunk")))).alias("bare")
+    )
+    several = runs.join(bare.filter("last_run > 0"), "trace_id").select("trace_id", "run", "unit", "n", "low", "high", "bare")
+    settled = several.repartition("trace_id").sortWithinPartitions("trace_id", "run").mapInArrow(_settle, _RUN_DDL)
+    units = stretches.join(settled, ["trace_id", "run"], "left").withColumn("unit", F.coalesce("unit", "path_unit"))
+    starts = units.groupBy("trace_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("place", "path_us", "path_row", "unit"))).alias("s"))
+    take = lambda name: F.transform("s", lambda x: x[name])
+    starts = starts.select("trace_id", "chunk", take("path_us").alias("start_us"), take("path_row").alias("start_row"), take("unit").alias("unit"))
+    return materialize(starts.join(noise, ["trace_id", "chunk"]))
 
 
 def with_units(cells: DataFrame, trace_rows: DataFrame, file_metadata: DataFrame) -> DataFrame:
-    """The chunked readings with unit_no, the number of the unit each was recorded in."""
-    starts = unit_starts(cells, trace_rows, file_metadata)
+    """The chunked readings (with their halo) with unit_no, the number of the unit each was recorded in, and noise, its trace's."""
+    starts = unit_starts(cells, materialize(noise_scales(cells)), trace_rows, file_metadata)
     begun = F.filter(
         F.arrays_zip("start_us", "start_row", "unit"),
         lambda s: (s["start_us"] < F.col("us")) | ((s["start_us"] == F.col("us")) & (s["start_row"] <= F.col("row_idx"))),
     )
     unit = F.when(F.size("unit") == 1, F.col("unit")[0]).otherwise(F.coalesce(F.try_element_at(begun, F.lit(-1))["unit"], F.col("unit")[0]))
-    joined = cells.join(starts.hint("shuffle_hash"), ["trace_id", "chunk"])
+    joined = cells.join(starts, ["trace_id", "chunk"])
     return joined.withColumn("unit_no", unit.cast("int")).drop("start_us", "start_row", "unit")
 
 
@@ -279,15 +359,16 @@ def celsius(value: Column, unit_no: Column) -> Column:
 def readings_in_celsius(trace_rows: DataFrame, file_metadata: DataFrame) -> DataFrame:
     """Every reading with a temperature once: (trace_id, row_idx, recorded_unit, temperature_c).
 
-    recorded_unit is C, F, K or dC (tenths of °C). Each chunk of a trace is segmented exactly (dynamic program over
-    all visible level shifts and an even grid, cost on log values: log-ratio to the setpoint in absolute temperature,
+    recorded_unit is C, F, K or dC (tenths of °C). Each chunk of a trace is segmented exactly (dynamic program over all
+    readings, stretches of at least MIN_STRETCH, cost on log values: log-ratio to the setpoint in absolute temperature,
     plausible range, level shifts that a known mapping explains); the chunks' tables of cost by (first, last unit) are
-    composed along the trace, starting from what channel name, header note, guess and the logger's other traces tell.
+    composed along the trace level by level, starting from what channel name, header note, guess and the logger's other
+    traces tell. Neither a chunk's view (it has a halo) nor the noise (counted over the whole trace) depends on the cut.
     Rows without temperature (null, NaN, infinite), trace_id or ts are left out; rows delivered twice come out once;
     a null row_idx stays null; a trace without metadata is judged by its values; empty tables give an empty result.
     """
-    cells = chunked(trace_rows)
-    rows = with_units(cells, trace_rows, file_metadata).dropDuplicates(["trace_id", "chunk", "row_idx", "us", "value"])
+    cells = chunked(trace_rows, halo=HALO_SLOTS)
+    rows = with_units(cells, trace_rows, file_metadata).filter("core").dropDuplicates(["trace_id", "chunk", "row_idx", "us", "value"])
     return rows.select(
         "trace_id",
         F.when(F.col("row_idx") >= 0, F.col("row_idx")).alias("row_idx"),
@@ -298,7 +379,7 @@ def readings_in_celsius(trace_rows: DataFrame, file_metadata: DataFrame) -> Data
 
 def foreign_readings(trace_rows: DataFrame, file_metadata: DataFrame) -> DataFrame:
     """Readings recorded in another unit than °C (trace_id, row_idx, recorded_unit)."""
-    rows = with_units(chunked(trace_rows), trace_rows, file_metadata).filter(F.col("unit_no") > 0)
+    rows = with_units(chunked(trace_rows, halo=HALO_SLOTS), trace_rows, file_metadata).filter(F.col("core") & (F.col("unit_no") > 0))
     return rows.dropDuplicates(["trace_id", "chunk", "row_idx"]).select(
         "trace_id", F.when(F.col("row_idx") >= 0, F.col("row_idx")).alias("row_idx"), _unit_name().alias("recorded_unit")
     )
