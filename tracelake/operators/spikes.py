@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from tracelake.operators import _spike_kernel as kernel
 from tracelake.operators import _unit_kernel
-from tracelake.operators._groups import groups, numbers
 from tracelake.operators._slots import HALO_SLOTS, chunked
-from tracelake.operators.units import celsius, with_units
+from tracelake.operators.units import chunk_rows, units_of, with_units
 from tracelake.session import materialize
 
 #: Physically impossible: below absolute zero, or outside these bounds (far outside -100 to 200 °C).
@@ -38,35 +37,32 @@ def _faults(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ("n", pa.int64()), ("touches_left", pa.bool_()), ("touches_right", pa.bool_()), ("rows", pa.list_(pa.int64())),
         ]
     )
-    for table, bounds in groups(batches, ("trace_id", "chunk")):
-        cores = table["core"].to_numpy()
-        us, rows, values, temperatures, noises = (numbers(table, n) for n in ("us", "row_idx", "value", "temperature_c", "noise"))
+    for batch in batches:
         out: dict[str, list] = {f.name: [] for f in schema}
-
-        def put(*row) -> None:
-            for name, x in zip(out, row):
-                out[name].append(x)
-
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            at = np.arange(a, b)
-            again = np.append(False, (us[at[1:]] == us[at[:-1]]) & (rows[at[1:]] == rows[at[:-1]]))
-            at = at[~again]
-            trace, chunk = table["trace_id"][int(a)].as_py(), int(table["chunk"][int(a)].as_py())
-            core = cores[at]
-            impossible = (temperatures[at] < LOWEST_C) | (temperatures[at] > HIGHEST_C)
-            found = rows[at[impossible & core]]
+        noises = batch.column("noise").to_numpy()
+        for i, (us, rows, values, cores, start_us, start_row, unit) in chunk_rows(batch, ("us", "row_idx", "value", "core", "start_us", "start_row", "unit")):
+            key = (batch.column("trace_id")[i].as_py(), batch.column("chunk")[i].as_py())
+
+            def put(*row) -> None:
+                for name, x in zip(out, (*key, *row)):
+                    out[name].append(x)
+
+            units = units_of(us, rows, start_us, start_row, unit)
+            celsius = _unit_kernel.SCALE[units] * values + _unit_kernel.OFFSET[units]
+            impossible = (celsius < LOWEST_C) | (celsius > HIGHEST_C)
+            found = rows[impossible & cores]
             if len(found):
-                put(trace, chunk, "impossible", 0, None, len(found), None, None, found)
-            fine = at[~impossible]
-            spikes = kernel.spike_mask(us[fine] / 1e6, values[fine], float(noises[a]))
+                put("impossible", 0, None, len(found), None, None, found)
+            fine = np.flatnonzero(~impossible)
+            spikes = kernel.spike_mask(us[fine] / 1e6, values[fine], float(noises[i]))
             found = rows[fine[spikes & cores[fine]]]
             if len(found):
-                put(trace, chunk, "spike", 0, None, len(found), None, None, found)
+                put("spike", 0, None, len(found), None, None, found)
             own = fine[cores[fine]]
             starts, ends = _runs(values[own])
-            for i, (s, e) in enumerate(zip(starts, ends)):
+            for place, (s, e) in enumerate(zip(starts, ends)):
                 if e - s >= SHORT_RUN or s == 0 or e == len(own):
-                    put(trace, chunk, "run", i, float(values[own[s]]), e - s, s == 0, e == len(own), rows[own[s:e]])
+                    put("run", place, float(values[own[s]]), e - s, s == 0, e == len(own), rows[own[s:e]])
         if out["n"]:
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
 
@@ -81,12 +77,8 @@ def faulty_readings(trace_rows: DataFrame, file_metadata: DataFrame) -> DataFram
     STUCK_RATIO times as long as every shorter run of its trace (impossible readings aside). Empty tables give an
     empty result.
     """
-    cells = with_units(chunked(trace_rows, halo=HALO_SLOTS), trace_rows, file_metadata)
-    cells = cells.withColumn("temperature_c", celsius(F.col("value"), F.col("unit_no")))
-    found = materialize(
-        cells.drop("setpoint", "interval_s", "unit_no").sortWithinPartitions("trace_id", "chunk", "us", "row_idx").mapInArrow(_faults, _DDL)
-    )
-
+    chunks = with_units(chunked(trace_rows, halo=HALO_SLOTS), trace_rows, file_metadata)
+    found = materialize(chunks.mapInArrow(_faults, _DDL))
     single = found.filter(F.col("fault") != "run").select("trace_id", F.explode("rows").alias("row_idx"), "fault")
     # runs inside a chunk are whole; the up to two at each chunk's edges may go on in the next
     runs = found.filter(F.col("fault") == "run").select("trace_id", "chunk", "place", "value", "n", "touches_left", "touches_right")

@@ -39,7 +39,11 @@ _SEGMENT_DDL = (
     "pair array<int>, path_us array<long>, path_row array<long>, path_unit array<int>, path_n array<long>, "
     "path_low array<double>, path_high array<double>"
 )
-_SIZES_DDL = "trace_id string, chunk long, bend array<int>, bend_n array<long>, step array<int>, step_n array<long>"
+_PACKED_DDL = (
+    "trace_id string, chunk long, interval_s double, us array<long>, row_idx array<long>, value array<double>, setpoint array<double>, core array<boolean>, "
+    "bend array<int>, bend_n array<long>, step array<int>, step_n array<long>"
+)
+_READING_DDL = "trace_id string, row_idx long, unit_no int, value double"
 _CHOSEN_DDL = "trace_id string, node long, first_unit int, last_unit int"
 _RUN_DDL = "trace_id string, run long, unit int"
 #: A stretch's levels are the extremes of its readings' rolling medians over so many readings on either side.
@@ -47,6 +51,7 @@ LEVEL_HALF = 20
 _KINDS = {
     "string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(),
     "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()),
+    "array<boolean>": pa.list_(pa.bool_()),
 }
 
 
@@ -66,36 +71,51 @@ def unit_told(text: Column, patterns: tuple[tuple[str, str], ...]) -> Column:
     return told
 
 
-def _once(us: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Readings that are no copy of the one before."""
-    return np.flatnonzero(np.append(True, (us[1:] != us[:-1]) | (rows[1:] != rows[:-1])))
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each chunk: its readings in order of time, copies left out, and how many bends and steps have which size."""
+    schema = _schema(_PACKED_DDL)
+    columns = ("us", "row_idx", "value", "setpoint")
+    for table, bounds in groups(batches, ("trace_id", "chunk")):
+        core, chunks, intervals = table["core"].to_numpy(), numbers(table, "chunk"), numbers(table, "interval_s")
+        whole = [numbers(table, n) for n in columns]
+        for a, b in zip(bounds[:-1], bounds[1:]):  # a batch each, so that chunks don't pile up
+            us, rows, values, setpoint = (c[a:b] for c in whole)
+            once = np.flatnonzero(np.append(True, (us[1:] != us[:-1]) | (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])))
+            own = core[a:b][once]
+            if not own.any():
+                continue
+            bends, steps = _spike_kernel.own_sizes(values[once], own)
+            found = (
+                table["trace_id"][int(a)].as_py(), chunks[a], intervals[a], us[once], rows[once], values[once], setpoint[once], own,
+                *_spike_kernel.size_bins(bends), *_spike_kernel.size_bins(steps[steps > _spike_kernel.LEAST]),
+            )
+            yield _batch({f.name: [x] for f, x in zip(schema, found)}, schema)
 
 
-def _chunk_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per chunk how many bends and steps of its readings have which size."""
-    schema = _schema(_SIZES_DDL)
-    for table, bounds in groups(batches, ("trace_id", "chunk")):
-        core = table["core"].to_numpy()
-        us, rows, values, chunks = (numbers(table, n) for n in ("us", "row_idx", "value", "chunk"))
-        out: dict[str, list] = {f.name: [] for f in schema}
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            at = a + _once(us[a:b], rows[a:b])
-            bends, steps = _spike_kernel.own_sizes(values[at], core[at])
-            row = (table["trace_id"][int(a)].as_py(), chunks[a], *_spike_kernel.size_bins(bends), *_spike_kernel.size_bins(steps[steps > _spike_kernel.LEAST]))
-            for name, value in zip(out, row):
-                out[name].append(value)
-        yield _batch(out, schema)
+def packed(cells: DataFrame) -> DataFrame:
+    """The chunks, one row each, written once: what reads them needs no shuffle or sort of readings again."""
+    return materialize(cells.mapInArrow(_pack, _PACKED_DDL))
+
+
+def chunk_rows(batch: pa.RecordBatch, names: tuple[str, ...]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Row number and list columns of each packed chunk of a batch, as arrays."""
+    flat, bounds = [], []
+    for name in names:
+        column = batch.column(name)
+        bounds.append(column.offsets.to_numpy())
+        flat.append(column.values.to_numpy(zero_copy_only=False))
+    for i in range(batch.num_rows):
+        yield i, [f[o[i] : o[i + 1]] for f, o in zip(flat, bounds)]
 
 
-def noise_scales(cells: DataFrame) -> DataFrame:
-    """(trace_id, chunk, noise): the noise of each trace, for every chunk of it.
+def noise_scales(chunks: DataFrame) -> DataFrame:
+    """(trace_id, chunk, noise): the noise of each trace, for every packed chunk of it.
 
     It is the median of the trace's bends (second differences) as a standard deviation, at least half its usual smallest
     step (first percentile); both are read from counts by logarithmic size, summed over the chunks, so they do not
     depend on where a trace is cut. A size is known to 1/16 of an octave.
     """
-    sizes = materialize(cells.drop("setpoint", "interval_s").mapInArrow(_chunk_sizes, _SIZES_DDL))
-    each = lambda kind: sizes.select("trace_id", F.lit(kind).alias("kind"), F.explode(F.arrays_zip(F.col(kind).alias("bin"), F.col(f"{kind}_n").alias("n"))).alias("x"))
+    each = lambda kind: chunks.select("trace_id", F.lit(kind).alias("kind"), F.explode(F.arrays_zip(F.col(kind).alias("bin"), F.col(f"{kind}_n").alias("n"))).alias("x"))
     counts = each("bend").unionByName(each("step")).groupBy("trace_id", "kind", "x.bin").agg(F.sum("x.n").alias("n"))
     whole = Window.partitionBy("trace_id", "kind")
     upto = F.sum("n").over(whole.orderBy("bin"))
@@ -104,20 +124,19 @@ def noise_scales(cells: DataFrame) -> DataFrame:
     size = F.when(F.col("bin") > -32768, F.pow(F.lit(2.0), (F.col("bin") + 0.5) / _spike_kernel.BINS)).otherwise(0.0)
     told = reached.groupBy("trace_id").agg(*[F.min(F.when(F.col("kind") == k, size)).alias(k) for k in ("bend", "step")])
     noise = F.greatest(F.coalesce("bend", F.lit(0.0)) * _spike_kernel.MAD_TO_SIGMA / 6**0.5, F.coalesce("step", F.lit(0.0)) / 2)
-    return sizes.select("trace_id", "chunk").join(told.select("trace_id", noise.alias("noise")), "trace_id", "left").select(
+    return chunks.select("trace_id", "chunk").join(told.select("trace_id", noise.alias("noise")), "trace_id", "left").select(
         "trace_id", "chunk", F.coalesce("noise", F.lit(0.0)).alias("noise")
     )
 
 
 def segment_chunk(us: np.ndarray, rows: np.ndarray, values: np.ndarray, setpoint: np.ndarray, core: np.ndarray, interval: float, noise: float) -> dict:
     """Costs and paths of one chunk's own readings (see kernel.segment), spikes and bursts left out; the halo tells what is around them."""
-    once = _once(us, rows)
-    keep = once[kernel.sane(values[once], noise)]
+    keep = np.flatnonzero(kernel.sane(values, noise))
     keep = keep[~kernel.bursts(values[keep], noise)]
     if not core[keep].any():
-        keep = once
-    holes = np.append(0, np.cumsum(np.diff(us[once]) / 1e6 > kernel.HOLE_SLOTS * interval)) if interval > 0 else np.zeros(len(once), dtype=int)
-    holes = holes[np.searchsorted(once, keep)]
+        keep = np.arange(len(values))
+    holes = np.append(0, np.cumsum(np.diff(us) / 1e6 > kernel.HOLE_SLOTS * interval)) if interval > 0 else np.zeros(len(us), dtype=int)
+    holes = holes[keep]
     value, own = values[keep], core[keep]
     rate, stuck = kernel.local_rate(value), kernel.frozen(value)
     emission = kernel.emission(value, setpoint[keep])[:, own]
@@ -148,19 +167,17 @@ def segment_chunk(us: np.ndarray, rows: np.ndarray, values: np.ndarray, setpoint
 
 def _segment_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = _schema(_SEGMENT_DDL)
-    for table, bounds in groups(batches, ("trace_id", "chunk")):
-        columns = [numbers(table, n) for n in ("us", "row_idx", "value", "setpoint")] + [table["core"].to_numpy()]
-        intervals, noises, chunks = (numbers(table, n) for n in ("interval_s", "noise", "chunk"))
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        intervals, noises, chunks = (batch.column(n).to_numpy() for n in ("interval_s", "noise", "chunk"))
         out: dict[str, list] = {f.name: [] for f in schema}
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            if not columns[4][a:b].any():
-                continue
-            found = segment_chunk(*[c[a:b] for c in columns], float(intervals[a]), float(noises[a]))
-            found |= {"trace_id": table["trace_id"][int(a)].as_py(), "chunk": int(chunks[a])}
+        for i, columns in chunk_rows(batch, ("us", "row_idx", "value", "setpoint", "core")):
+            found = segment_chunk(*columns, float(intervals[i]), float(noises[i]))
+            found |= {"trace_id": batch.column("trace_id")[i].as_py(), "chunk": int(chunks[i])}
             for name in out:
                 out[name].append(found[name])
-        if out["n"]:
-            yield _batch(out, schema)
+        yield _batch(out, schema)
 
 
 def _links(table: pa.Table, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
@@ -306,9 +323,10 @@ def _priors(chunks: DataFrame, trace_rows: DataFrame, file_metadata: DataFrame)
     return told.select("trace_id", F.array(*prior).alias("prior"))
 
 
-def unit_starts(cells: DataFrame, noise: DataFrame, trace_rows: DataFrame, file_metadata: DataFrame) -> DataFrame:
+def unit_starts(packs: DataFrame, trace_rows: DataFrame, file_metadata: DataFrame) -> DataFrame:
     """Per trace and chunk, the readings at which a unit begins to hold (arrays start_us, start_row, unit), and the noise."""
-    judged = cells.join(noise, ["trace_id", "chunk"]).sortWithinPartitions("trace_id", "chunk", "us", "row_idx")
+    noise = materialize(noise_scales(packs))
+    judged = packs.drop("bend", "bend_n", "step", "step_n").join(noise, ["trace_id", "chunk"])
     chunks = materialize(judged.mapInArrow(_segment_chunks, _SEGMENT_DDL))
     chosen = chosen_units(chunks, _priors(chunks, trace_rows, file_metadata)).withColumnRenamed("node", "chunk")
     zipped = F.arrays_zip("pair", "path_us", "path_row", "path_unit", "path_n", "path_low", "path_high")
@@ -335,16 +353,37 @@ def unit_starts(cells: DataFrame, noise: DataFrame, trace_rows: DataFrame, file_
     return materialize(starts.join(noise, ["trace_id", "chunk"]))
 
 
+def units_of(us: np.ndarray, rows: np.ndarray, start_us: np.ndarray, start_row: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """The unit of each reading: that of the last start at or before it, the first one before any."""
+    if len(units) == 1:
+        return np.full(len(us), units[0])
+    begun = (start_us[None, :] < us[:, None]) | ((start_us[None, :] == us[:, None]) & (start_row[None, :] <= rows[:, None]))
+    return units[np.maximum(begun.sum(axis=1) - 1, 0)]
+
+
 def with_units(cells: DataFrame, trace_rows: DataFrame, file_metadata: DataFrame) -> DataFrame:
-    """The chunked readings (with their halo) with unit_no, the number of the unit each was recorded in, and noise, its trace's."""
-    starts = unit_starts(cells, materialize(noise_scales(cells)), trace_rows, file_metadata)
-    begun = F.filter(
-        F.arrays_zip("start_us", "start_row", "unit"),
-        lambda s: (s["start_us"] < F.col("us")) | ((s["start_us"] == F.col("us")) & (s["start_row"] <= F.col("row_idx"))),
-    )
-    unit = F.when(F.size("unit") == 1, F.col("unit")[0]).otherwise(F.coalesce(F.try_element_at(begun, F.lit(-1))["unit"], F.col("unit")[0]))
-    joined = cells.join(starts, ["trace_id", "chunk"])
-    return joined.withColumn("unit_no", unit.cast("int")).drop("start_us", "start_row", "unit")
+    """The packed chunks with the readings at which a unit begins to hold (start_us, start_row, unit) and their trace's noise."""
+    packs = packed(cells)
+    return packs.drop("setpoint", "interval_s", "bend", "bend_n", "step", "step_n").join(unit_starts(packs, trace_rows, file_metadata), ["trace_id", "chunk"])
+
+
+def _own_readings(foreign: bool):
+    """Readings of the chunks themselves with their units; of foreign ones each row_idx once a chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = _schema(_READING_DDL)
+        for batch in batches:
+            for i, (us, rows, values, core, start_us, start_row, unit) in chunk_rows(batch, ("us", "row_idx", "value", "core", "start_us", "start_row", "unit")):
+                units = units_of(us, rows, start_us, start_row, unit)
+                own = np.flatnonzero(core & (units > 0) if foreign else core)
+                if foreign:
+                    own = own[np.unique(rows[own], return_index=True)[1]]
+                if len(own):
+                    trace = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(own), np.int32)), batch.column("trace_id").slice(i, 1)).cast(pa.string())
+                    row_idx = pa.array(rows[own], mask=rows[own] < 0)
+                    yield pa.RecordBatch.from_arrays([trace, row_idx, pa.array(units[own].astype(np.int32)), pa.array(values[own])], schema=schema)
+
+    return run
 
 
 def _unit_name() -> Column:
@@ -367,19 +406,13 @@ def readings_in_celsius(trace_rows: DataFrame, file_metadata: DataFrame) -> Data
     Rows without temperature (null, NaN, infinite), trace_id or ts are left out; rows delivered twice come out once;
     a null row_idx stays null; a trace without metadata is judged by its values; empty tables give an empty result.
     """
-    cells = chunked(trace_rows, halo=HALO_SLOTS)
-    rows = with_units(cells, trace_rows, file_metadata).filter("core").dropDuplicates(["trace_id", "chunk", "row_idx", "us", "value"])
-    return rows.select(
-        "trace_id",
-        F.when(F.col("row_idx") >= 0, F.col("row_idx")).alias("row_idx"),
-        _unit_name().alias("recorded_unit"),
-        celsius(F.col("value"), F.col("unit_no")).alias("temperature_c"),
-    )
+    packs = with_units(chunked(trace_rows, halo=HALO_SLOTS), trace_rows, file_metadata)
+    rows = packs.mapInArrow(_own_readings(False), _READING_DDL)
+    return rows.select("trace_id", "row_idx", _unit_name().alias("recorded_unit"), celsius(F.col("value"), F.col("unit_no")).alias("temperature_c"))
 
 
 def foreign_readings(trace_rows: DataFrame, file_metadata: DataFrame) -> DataFrame:
     """Readings recorded in another unit than °C (trace_id, row_idx, recorded_unit)."""
-    rows = with_units(chunked(trace_rows, halo=HALO_SLOTS), trace_rows, file_metadata).filter(F.col("core") & (F.col("unit_no") > 0))
-    return rows.dropDuplicates(["trace_id", "chunk", "row_idx"]).select(
-        "trace_id", F.when(F.col("row_idx") >= 0, F.col("row_idx")).alias("row_idx"), _unit_name().alias("recorded_unit")
-    )
+    packs = with_units(chunked(trace_rows, halo=HALO_SLOTS), trace_rows, file_metadata)
+    rows = packs.mapInArrow(_own_readings(True), _READING_DDL)
+    return rows.select("trace_id", "row_idx", _unit_name().alias("recorded_unit"))
