@@ -95,9 +95,11 @@ def jump_costs(before: np.ndarray, after: np.ndarray, scale: np.ndarray, informa
     """Cost [i, a, b] of the level shift at i when the unit goes from a to b."""
     gap = np.abs(to_celsius(after).T[:, None, :] - to_celsius(before).T[:, :, None])
     tolerance = 4 * scale[:, None, None] * np.maximum(SCALE[:, None], SCALE[None, :])[None] + 0.1
-    cost = np.clip(gap / tolerance - 1, 0, JUMP)
+    changed = (1 - np.eye(N))[None]
+    # of places at which a change explains all, the one where it does so best
+    cost = np.clip(gap / tolerance - 1, 0, JUMP) + changed * np.clip(gap / tolerance, 0, 1) ** 2
     cost[~informative] *= HOLE_WEIGHT
-    return cost + CHANGE * (1 - np.eye(N))[None]
+    return cost + CHANGE * changed
 
 
 def changes(
