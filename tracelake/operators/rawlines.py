@@ -93,7 +93,7 @@ def file_plans(raw_lines: DataFrame, file_metadata: DataFrame, raw_traces: DataF
     resolve = sensor_of(catalog)
     columns = split.select("source_file", F.posexplode("names").alias("at", "name"))
     data_types = catalog.filter("sensor_code is not null").groupBy("sensor_code").agg(F.min("data_type").alias("data_type"))
-    names = columns.select("name").distinct().withColumn("sensor_code", resolve("name")).join(F.broadcast(data_types.limit(100_000)), "sensor_code", "left")
+    names = columns.select("name").distinct().withColumn("sensor_code", resolve("name")).join(data_types, "sensor_code", "left")
     counted = cells(raw_traces).filter("kind is not null").groupBy(F.trim("channel_name").alias("name"), "kind").agg(F.count(F.lit(1)).alias("n"))
     # on ties string comes before number, as any text is allowed then
     logged = counted.groupBy("name").agg(F.max_by("kind", F.struct("n", "kind")).alias("logged"))

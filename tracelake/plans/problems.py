@@ -35,6 +35,7 @@ def queries() -> dict[str, Query]:
         "p1_found": _on("trace_rows", grid.missing_slots),
         "p1_grid": _on("trace_rows", grid.regular_grid),
         "p2_found": _on("raw_traces file_metadata channel_catalog", drift.schema_changes),
+        "p2_report": _on("raw_traces file_metadata channel_catalog", drift.schema_report),
         "p2_table": _on("raw_traces channel_catalog", drift.rescued_table),
         "p3_found": _on("trace_rows file_metadata", spikes.faulty_rows),
         "p3_faults": _on("trace_rows file_metadata", spikes.faulty_readings),
