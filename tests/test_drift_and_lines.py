@@ -9,7 +9,7 @@ from tests.traces import metadata
 from tracelake.functions.sensors import SensorNames
 from tracelake.operators import rawlines
 from tracelake.operators._tokens import Lines
-from tracelake.operators.drift import rescued_table, schema_changes
+from tracelake.operators.drift import rescued_table, schema_changes, schema_report
 
 CATALOG = [("T_AIR", "Chamber Temp", "NUMERIC", ["Air Temp"]), ("RH", "Relative Humidity", "NUMERIC", ["Humidity"]), ("DOOR", "Door State", "STATE", ["Door Switch"]), ("NOTE", "Remark", "TEXT", None)]
 
@@ -121,6 +121,9 @@ def test_lines_with_reasons(spark):
     args = (lines.union(lines), meta, traces(spark, []), catalog(spark))
     got = {r.line_no: r.reason for r in rawlines.rejected_lines(*args).collect()}
     assert got == {7: "invalid_value", 8: "column_count", 9: "broken_quoting", 10: "broken_quoting", 11: "invalid_value", 13: "invalid_value", 15: "broken_quoting", 16: "column_count"}
+    at = {r.line_no: r.error_at for r in rawlines.reject_report(*args).collect()}
+    # a bad cell begins there, a short line ends there, an open quote is missed at the end, a stray one stands there, a surplus field's delimiter
+    assert at == {7: 2, 8: 7, 9: 10, 10: 3, 11: 0, 13: 5, 15: 6, 16: 25}
     rows = {r.line_no: r for r in rawlines.valid_rows(*args).collect()}
     assert set(rows) == {2, 6, 12, 17} and json.loads(rows[6].record) == {"t": "2", "Air Temp": "20.5 C", "Door State": "off", "Remark": 'a "b" c'}
     count = rawlines.usable_counts(*args).collect()
@@ -143,3 +146,10 @@ def test_kind_of_columns_the_catalog_lacks(spark):
     assert {(r.line_no, r.reason) for r in rawlines.rejected_lines(*args).collect()} == {(2, "invalid_value"), (3, "invalid_value")}
     assert {r.line_no for r in rawlines.valid_rows(*args).collect()} == {1, 4}
     assert [(r.data_row_count, r.usable_row_count) for r in rawlines.usable_counts(*args).collect()] == [(4, 2)]
+
+
+def test_report_says_what_the_ingestion_did(spark):
+    files = [("a", ["Air Temp"], [{"Air Temp": 1.5}]), ("b", ["Chmb Tmp", "What"], [{"Chmb Tmp": "21,5", "What": 1}, {"Chmb Tmp": "ERR"}, {"Chmb Tmp": 4}])]
+    meta = metadata(spark, *[(f, None, None) for f, _, _ in files])
+    got = {r.channel_name: (r.change_kind, r.sensor, r.typed, r.promoted, r.rescued) for r in schema_report(traces(spark, files), meta, catalog(spark)).collect()}
+    assert got == {"Chmb Tmp": ("renamed", "T_AIR", 1, 1, 1), "What": ("added", None, 0, 0, 1)}

@@ -90,6 +90,23 @@ class Lines:
             current[live] = TRANSITION[self.kind[at], current[live]]
         return before, state
 
+    def surplus_at(self, wanted: np.ndarray) -> np.ndarray:
+        """Byte of each line at which its fields become more than wanted, or its length if they are too few."""
+        lengths = np.diff(self.bounds)
+        places = np.append(np.flatnonzero(self.parting), len(self.data))
+        first = np.concatenate([[0], np.cumsum(self.parting)])[self.bounds[:-1]]
+        at = places[np.minimum(first + np.maximum(wanted - 1, 0), len(places) - 1)] - self.bounds[:-1]
+        return np.where(self.fields > wanted, at, lengths)
+
+    def cell_starts(self, chosen: np.ndarray) -> np.ndarray:
+        """Byte of its line at which each cell of the chosen lines begins, in the order of cells()."""
+        own = np.repeat(chosen, np.diff(self.bounds))
+        counts, begins = self.fields[chosen], self.bounds[:-1][chosen]
+        ends = np.sort(np.concatenate([np.flatnonzero(self.parting & own), self.bounds[1:][chosen]]))
+        starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else np.zeros(0, dtype=np.int64)
+        starts[np.cumsum(counts) - counts] = begins
+        return starts - np.repeat(begins, counts)
+
     def cells(self, chosen: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         """All cells of the chosen lines one after the other, quotes resolved, and how many each line has."""
         lengths = np.diff(self.bounds)

@@ -41,7 +41,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reason = np.full(n, None, dtype=object)
         reason[lines.fields != wanted] = "column_count"
         reason[lines.broken] = "broken_quoting"
-        error_at = lines.error_at.copy()
+        error_at = np.where(lines.broken, lines.error_at, np.where(lines.fields != wanted, lines.surplus_at(wanted), -1))
         good = np.array([r is None for r in reason])
         cells, counts = lines.cells(good)
         starts = np.concatenate([[0], np.cumsum(counts)])
@@ -56,8 +56,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wrong = np.flatnonzero(~fine)
             line = np.searchsorted(starts, wrong, side="right") - 1
             places = np.flatnonzero(good)
-            # the number of the first wrong cell, as its offset in bytes is lost with the quotes
-            error_at[places[line[::-1]]] = (wrong - starts[line])[::-1]
+            error_at[places[line[::-1]]] = lines.cell_starts(good)[wrong][::-1]
             reason[places[line]] = "invalid_value"
         valid = np.array([r is None for r in reason[good]])
         sizes = np.zeros(n, dtype=np.int64)
@@ -116,8 +115,9 @@ def judged_lines(raw_lines: DataFrame, file_metadata: DataFrame, raw_traces: Dat
     """Every data line: source_file, line_no, reason (null if valid), error_at, cells (of valid lines), names.
 
     Data lines follow the header and are not blank, no repeat of the header and don't start with #. reason is, the
-    first that holds, broken_quoting, column_count or invalid_value; error_at is the byte at which the quoting
-    breaks, or the number of the first wrong cell, else -1. A null line counts as blank; lines of files without metadata
+    first that holds, broken_quoting, column_count or invalid_value; error_at is the byte of the line (in
+    UTF-8) at which the quoting breaks, the surplus field's delimiter stands (or the line ends, with too few) or the first
+    wrong cell begins, -1 for a valid line. A null line counts as blank; lines of files without metadata
     or header can't be judged and drop out; a line given twice comes out once; an empty table stays empty. The lines
     of one file are spread over tasks, however many it has.
     """
@@ -139,6 +139,12 @@ def rejected_lines(raw_lines: DataFrame, file_metadata: DataFrame, raw_traces: D
     return judged.filter("reason is not null").select("source_file", "line_no", "reason").distinct()
 
 
+def reject_report(raw_lines: DataFrame, file_metadata: DataFrame, raw_traces: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Rejected lines with the reason and the byte of the line it was found at (source_file, line_no, reason, error_at)."""
+    judged = judged_lines(raw_lines, file_metadata, raw_traces, catalog)
+    return judged.filter("reason is not null").select("source_file", "line_no", "reason", "error_at").distinct()
+
+
 def valid_rows(raw_lines: DataFrame, file_metadata: DataFrame, raw_traces: DataFrame, catalog: DataFrame) -> DataFrame:
     """Valid lines as rows: source_file, line_no, elapsed_s, record (JSON object, missing values as null)."""
     judged = judged_lines(raw_lines, file_metadata, raw_traces, catalog).filter("reason is null").dropDuplicates(["source_file", "line_no"])

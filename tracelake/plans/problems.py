@@ -42,6 +42,7 @@ def queries() -> dict[str, Query]:
         "p4_found": _on("trace_rows file_metadata", units.foreign_readings),
         "p4_celsius": _on("trace_rows file_metadata", units.readings_in_celsius),
         "p5_found": _on(_LINES, rawlines.rejected_lines),
+        "p5_rejects": _on(_LINES, rawlines.reject_report),
         "p5_rows": _on(_LINES, rawlines.valid_rows),
         "p5_counts": _on(_LINES, rawlines.usable_counts),
         "p6_found": _stamps(stamps.reading_instants),
