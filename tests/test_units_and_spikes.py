@@ -107,3 +107,62 @@ def test_nulls_and_empty_tables(spark):
     odd = rows(spark, [(0, 0, None), (1, 10, float("nan")), (2, None, 3.0), (3, 30, 4.0), (None, 40, 5.0)])
     assert faulty_readings(odd, meta.limit(0)).count() == 0
     assert {r.row_idx for r in readings_in_celsius(odd, meta.limit(0)).collect()} <= {3, None}
+
+
+def test_results_do_not_depend_on_the_cut(spark, monkeypatch):
+    from tracelake.operators import spikes, units
+
+    p = profile(1500, noise=0.05)
+    raw = np.where((np.arange(1500) >= 600) & (np.arange(1500) < 1100), p[:, 0] * 1.8 + 32, p[:, 0]).round(2)
+    raw[[300, 700, 701, 1203]] += 35
+    raw[900:930] = raw[900]
+    df, meta = rows(spark, [(k, 10 * k, float(raw[k])) for k in range(1500)]), metadata(spark, ("f", None, None))
+    plain, seen = units.chunked, []
+    for slots in (150, 400, 65536):
+        for module in (spikes, units):
+            monkeypatch.setattr(module, "chunked", lambda t, halo=0: plain(t, halo=halo, chunk_slots=slots))
+        monkeypatch.setattr(units, "FANOUT", 3)
+        seen.append(({tuple(r) for r in foreign_readings(df, meta).collect()}, {tuple(r) for r in faulty_readings(df, meta).collect()}))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0][0]) > 450 and len(seen[0][1]) >= 34
+
+
+def test_segmentation_over_all_readings_with_least_stretches():
+    """The cheapest path over every reading, stretches between changes at least so long, by a program that keeps their starts."""
+    rng, n = np.random.default_rng(5), 12
+    for _ in range(15):
+        least = int(rng.integers(1, 5))
+        x = np.r_[rng.normal(20, 0.1, 4), rng.normal(rng.choice([68.0, 293.0, 20.0]), 0.1, 4), rng.normal(25, 0.1, 4)].round(2)
+        setpoint = np.where(rng.random(n) < 0.5, 20.0, np.nan)
+        cost, paths = unit_kernel.segment(np.arange(float(n)), x, setpoint, 1.0, least=least, refine=True)
+        emission = unit_kernel.emission(x, setpoint)
+        unit_kernel_all = np.arange(1, n)
+        rate, stuck = unit_kernel.local_rate(x), unit_kernel.frozen(x)
+        scale = np.maximum(unit_kernel.noise_scale(x), rate)
+        steps = np.abs(np.diff(x, prepend=x[0], append=x[-1]))
+        jump = unit_kernel.jump_costs(x[:-1], x[1:], np.maximum(np.maximum(scale[:-1], scale[1:]), np.maximum(steps[:-2], steps[2:])), ~(stuck[1:] | stuck[:-1]))
+        best = np.full((4, 4), np.inf)
+        for first in range(4):
+            state = {(first, 0): emission[first, 0]}
+            for t in unit_kernel_all:
+                new: dict = {}
+                for (a, start), c in state.items():
+                    for b in range(4):
+                        if b == a or start == 0 or t - start >= least:
+                            key, value = (b, start if a == b else t), c + jump[t - 1, a, b] + emission[b, t]
+                            new[key] = min(new.get(key, np.inf), value)
+                state = new
+            for (b, _), c in state.items():
+                best[first, b] = min(best[first, b], c)
+        assert np.allclose(cost, best)
+        assert all(paths[a][b][0] == (0, a) and paths[a][b][-1][1] == b for a in range(4) for b in range(4))
+
+
+def test_composing_pieces_is_the_whole_chain():
+    rng = np.random.default_rng(6)
+    costs, shifts = rng.random((7, 4, 4)), rng.random((6, 4, 4))
+    whole = unit_kernel.compose(costs, shifts)
+    left, right = unit_kernel.compose(costs[:3], shifts[:2]), unit_kernel.compose(costs[3:], shifts[3:])
+    assert np.allclose(whole, unit_kernel.compose(np.stack([left, right]), shifts[2:3]))
+    pairs = unit_kernel.descend(costs, shifts, 1, 2)
+    total = sum(costs[k][a, b] for k, (a, b) in enumerate(pairs)) + sum(shifts[k][pairs[k][1], pairs[k + 1][0]] for k in range(6))
+    assert pairs[0][0] == 1 and pairs[-1][1] == 2 and np.isclose(total, whole[1, 2])

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
+#: Rows of a key that one task may get, and most keys that can be hot at once.
+ROWS_PER_SALT, MOST_HOT = 1_000_000, 1000
 
 
 def _starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
@@ -65,3 +67,20 @@ def salted_join(rows: DataFrame, small: DataFrame, key: str, spread: Column, how
     left = rows.withColumn("_salt", F.pmod(F.coalesce(spread, F.lit(0)), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def sized_join(rows: DataFrame, small: DataFrame, key: str, spread: Column, size: str = "n_rows") -> DataFrame:
+    """Inner equi-join with a side of one row per key that tells how many rows the key has: hot keys alone are spread.
+
+    A key is hot above ROWS_PER_SALT rows, or above a MOST_HOT-th of all rows if that is more, and gets a salt for every
+    so many rows. There are fewer than MOST_HOT such keys, whatever the data: their list is broadcast. small is read
+    three times; its rows should be written.
+    """
+    total = small.agg(F.sum(size)).first()[0] or 0  # one number
+    limit = max(ROWS_PER_SALT, total // MOST_HOT + 1)
+    salts = F.ceil(F.col(size) / F.lit(limit)).cast("int")
+    hot = small.filter(F.col(size) > limit).select(key, salts.alias("_salts"))
+    left = rows.join(F.broadcast(hot), key, "left")
+    left = left.withColumn("_salt", F.pmod(F.coalesce(spread, F.lit(0)), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts - 1, F.lit(0)))))
+    return left.join(right, [key, "_salt"]).drop("_salt", size)

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators._groups import salted_join
+from tracelake.operators._groups import sized_join
+from tracelake.session import materialize
 
 CHUNK_SLOTS = 4096
 HALO_SLOTS = 64
@@ -33,7 +34,7 @@ def slot_of(us: str = "us") -> Column:
 
 
 def trace_params(rows: DataFrame, chunk_slots: int = CHUNK_SLOTS) -> DataFrame:
-    """One row per trace: start, sampling interval, first and last slot, and chunk width.
+    """One row per trace: start, sampling interval, first and last slot, chunk width and number of rows; written once.
 
     rows: trace_id, row_idx, us, interval. The start is the time of the lowest row_idx; the interval is the value
     most rows carry (smaller on ties; null, NaN and values of 0 or less don't count), else the mean spacing, else 1.
@@ -65,11 +66,11 @@ def trace_params(rows: DataFrame, chunk_slots: int = CHUNK_SLOTS) -> DataFrame:
     span = F.col("hi_slot") - F.col("lo_slot") + 1
     # an interval that is told too long would pile many readings onto a slot: chunks are bounded in rows, too
     pieces = F.greatest(F.round(span / F.lit(chunk_slots)), F.ceil(F.col("n_rows") / F.lit(ROWS_PER_SLOT * chunk_slots)), F.lit(1))
-    return (
+    return materialize(
         started.withColumn("lo_slot", slot_of("lo_us"))
         .withColumn("hi_slot", slot_of("hi_us"))
         .withColumn("width", F.ceil(span / pieces).cast("long"))
-        .select("trace_id", "t0_us", "interval_s", "lo_slot", "hi_slot", "width")
+        .select("trace_id", "t0_us", "interval_s", "lo_slot", "hi_slot", "width", "n_rows")
     )
 
 
@@ -88,9 +89,7 @@ def readings(trace_rows: DataFrame) -> DataFrame:
 def chunked(trace_rows: DataFrame, halo: int = 0, chunk_slots: int = CHUNK_SLOTS) -> DataFrame:
     """Readings with a temperature, by (trace_id, chunk) on one task each and in order of time, copies of the halo included."""
     rows = readings(trace_rows)
-    joined = salted_join(
-        rows.filter(F.col("value").isNotNull()).drop("interval"), trace_params(rows, chunk_slots), "trace_id", F.col("row_idx")
-    )
+    joined = sized_join(rows.filter(F.col("value").isNotNull()).drop("interval"), trace_params(rows, chunk_slots), "trace_id", F.col("row_idx"))
     place = slot_of() - F.col("lo_slot")
     cells = joined.withColumn("_place", place).withColumn("chunk", F.floor(F.col("_place") / F.col("width")).cast("long"))
     if halo:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.operators._groups import salted_join
+from tracelake.operators._groups import salted_join, sized_join
 from tracelake.operators._slots import CHUNK_SLOTS, readings, slot_of, trace_params
 from tracelake.session import materialize
 
@@ -108,18 +108,19 @@ def regular_grid(
     observed=False gives the slots without temperature only.
 
     Distribution: slots are aggregated by (trace, slot) with partial sums, packed by chunks of bounded length, and each
-    chunk gives its share of the normal equations (written once, as several steps read it); those are summed by
-    (trace, position). Holes leave a chunk as
+    chunk gives its share of the normal equations (written once, as several steps read it, like the packed chunks where the
+    observed slots are wanted, too); those are summed by (trace, position). Holes leave a chunk as
     (endpoints) only, so what is joined with the coefficients is small, and long holes are expanded in pieces.
     """
     rows = readings(trace_rows)
-    placed = salted_join(rows.drop("interval", "setpoint"), trace_params(rows, chunk_slots), "trace_id", F.col("row_idx"))
+    placed = sized_join(rows.drop("interval", "setpoint"), trace_params(rows, chunk_slots), "trace_id", F.col("row_idx"))
     placed = placed.withColumn("slot", slot_of())
     chunk = F.floor((F.col("slot") - F.col("lo_slot")) / F.col("width")).cast("long")
     cells = placed.groupBy("trace_id", chunk.alias("chunk"), "lo_slot", "hi_slot", "slot").agg(F.avg("value").alias("y"))
     packed = cells.groupBy("trace_id", "chunk", "lo_slot", "hi_slot").agg(
         F.sort_array(F.collect_list(F.struct("slot", "y"))).alias("cells")
     )
+    packed = materialize(packed) if observed else packed
     chunks = materialize(packed.mapInArrow(_chunk_equations(harmonics), _EQUATIONS_DDL))
 
     sums = chunks.select("trace_id", "lo_slot", "hi_slot", F.posexplode("sums")).groupBy("trace_id", "lo_slot", "hi_slot", "pos")
@@ -175,7 +176,8 @@ def regular_grid(
     )
     if not observed:
         return filled
-    seen = cells.filter(F.col("y").isNotNull()).select("trace_id", "slot", F.col("y").alias("value"), F.lit("observed").alias("fill_method"))
+    slots = packed.select("trace_id", F.explode("cells").alias("c")).select("trace_id", "c.slot", F.col("c.y").alias("value"))
+    seen = slots.filter(F.col("value").isNotNull()).withColumn("fill_method", F.lit("observed"))
     return seen.unionByName(filled)
 
 
