@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,12 @@ from tracelake.llm.bpe import VOCABULARY, Tokenizer
 ROWS_AT_ONCE = 256
 
 
+@lru_cache(maxsize=4)
+def _tokenizer(path: str) -> Tokenizer:
+    """The tokenizer of a vocabulary, loaded once a worker."""
+    return Tokenizer(path)
+
+
 def _batches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for at in range(0, batch.num_rows, ROWS_AT_ONCE):
         yield batch.slice(at, ROWS_AT_ONCE)
@@ -29,7 +36,7 @@ def token_ids(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(path)
+        tokenizer = _tokenizer(path)
         for whole in batches:
             for batch in _batches(whole):
                 ids = [np.asarray(tokenizer.encode(t.as_py()), dtype=np.int32) for t in batch.column("text")]
@@ -44,7 +51,7 @@ def token_counts(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, n_tokens) of every row of documents; 0 for a null or empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(path)
+        tokenizer = _tokenizer(path)
         for batch in batches:
             sizes = [len(tokenizer.encode(t.as_py())) for t in batch.column("text")]
             columns = [batch.column("doc_id").cast(pa.int64()), batch.column("source").cast(pa.string()), pa.array(sizes, type=pa.int64())]

@@ -11,6 +11,8 @@ from tracelake.operators._groups import salted_join
 from tracelake.session import materialize
 
 SEED = 20240229
+#: Documents of one sorted range; a range is sorted and summed by one task.
+DOCUMENTS_PER_RANGE = 1_000_000
 
 
 def _plan(counts: DataFrame, mix_targets: DataFrame) -> DataFrame:
@@ -39,14 +41,16 @@ def _plan(counts: DataFrame, mix_targets: DataFrame) -> DataFrame:
     return planned.withColumn("epochs", epochs).withColumn("rest", F.col("used") - F.col("epochs") * F.col("available_tokens"))
 
 
-def _ordered(counts: DataFrame, seed: int, partitions: int) -> DataFrame:
+def _ordered(counts: DataFrame, seed: int, partitions: int | None) -> DataFrame:
     """Documents with tokens, range-sorted by (source, hash-random key), and the tokens before each in its source.
 
-    Sorted ranges are written with their number; the sums within a range and the sums of whole ranges are then added,
+    There are as many ranges as the documents fill, or partitions. Sorted ranges are written with their number; the sums within a range and the sums of whole ranges are then added,
     so a source that holds most of the corpus is summed in as many pieces as it fills ranges.
     """
     key = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), F.col("n_tokens"))
     keyed = counts.filter("n_tokens > 0 and source is not null").withColumn("key", key)
+    if partitions is None:
+        partitions = max(8, -(-counts.count() // DOCUMENTS_PER_RANGE))  # one number
     ranged = keyed.repartitionByRange(partitions, "source", "key", "doc_id").withColumn("range", F.spark_partition_id())
     written = materialize(ranged)
     within = Window.partitionBy("range", "source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -57,7 +61,9 @@ def _ordered(counts: DataFrame, seed: int, partitions: int) -> DataFrame:
     return local.join(offsets, ["range", "source"]).select("doc_id", "source", "n_tokens", (F.col("before") + F.col("offset")).alias("before"))
 
 
-def mixed_documents(documents: DataFrame, mix_targets: DataFrame, path: str = VOCABULARY, seed: int = SEED, partitions: int = 64) -> DataFrame:
+def mixed_documents(
+    documents: DataFrame, mix_targets: DataFrame, path: str = VOCABULARY, seed: int = SEED, partitions: int | None = None, counts: DataFrame | None = None
+) -> DataFrame:
     """Documents of each mix with how often each is taken: (mix_name, doc_id, source, n_tokens, repeats).
 
     The wanted total is the number of tokens of all documents; a source's budget is its share (weights divided by their
@@ -66,9 +72,10 @@ def mixed_documents(documents: DataFrame, mix_targets: DataFrame, path: str = VO
     budget by half a document at most. No document is taken more than max_repeats times in total; a source
     that would need more falls short, and the other sources keep their budgets. Null, negative and NaN weights count
     0, a null max_repeats 1; documents without tokens or source are never taken; a source named twice in a mix has
-    the sum of its weights and the smaller cap; rows of repeated doc_id are documents of their own.
+    the sum of its weights and the smaller cap; rows of repeated doc_id are documents of their own. counts, if given, are
+    the written token counts of the same documents.
     """
-    counts = materialize(token_counts(documents, path))
+    counts = materialize(token_counts(documents, path)) if counts is None else counts
     plan = _plan(counts, mix_targets)
     ordered = _ordered(counts, seed, partitions)
     taken = salted_join(ordered, plan.select("mix_name", "source", "epochs", "rest"), "source", F.xxhash64("doc_id", "before"))
@@ -76,12 +83,14 @@ def mixed_documents(documents: DataFrame, mix_targets: DataFrame, path: str = VO
     return taken.select("mix_name", "doc_id", "source", "n_tokens", repeats.cast("int").alias("repeats")).filter("repeats > 0")
 
 
-def mix_shares(documents: DataFrame, mix_targets: DataFrame, path: str = VOCABULARY, seed: int = SEED, partitions: int = 64) -> DataFrame:
+def mix_shares(
+    documents: DataFrame, mix_targets: DataFrame, path: str = VOCABULARY, seed: int = SEED, partitions: int | None = None, counts: DataFrame | None = None
+) -> DataFrame:
     """Per mix and source what was wanted and reached.
 
     reached_share is of the wanted total, share_of_mix of what the mix holds; both differ if a source falls short.
     """
-    counts = materialize(token_counts(documents, path))
+    counts = materialize(token_counts(documents, path)) if counts is None else counts
     plan = _plan(counts, mix_targets)
     ordered = _ordered(counts, seed, partitions)
     taken = salted_join(ordered, plan.select("mix_name", "source", "epochs", "rest"), "source", F.xxhash64("doc_id", "before"))

@@ -7,9 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.llm import encode, mix, pii
-from tracelake.session import table
+from tracelake.session import fingerprint, table, write_shared
 
 Query = Callable[[SparkSession, str], DataFrame]
+_counted: dict[tuple, str] = {}
+
+
+def _token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of a folder's documents, made once as long as their files are the same."""
+    key = (spark.sparkContext.applicationId, fingerprint(spark, f"{folder}/documents.parquet"))
+    if key not in _counted:
+        _counted.clear()
+        _counted[key] = write_shared(encode.token_counts(table(spark, folder, "documents")))
+    return spark.read.parquet(_counted[key])
 
 
 def queries() -> dict[str, Query]:
@@ -17,8 +27,8 @@ def queries() -> dict[str, Query]:
     targets = lambda s, d: table(s, d, "mix_targets")
     return {
         "p7_ids": lambda s, d: encode.token_ids(documents(s, d)),
-        "p8_mix": lambda s, d: mix.mixed_documents(documents(s, d), targets(s, d)),
-        "p8_shares": lambda s, d: mix.mix_shares(documents(s, d), targets(s, d)),
+        "p8_mix": lambda s, d: mix.mixed_documents(documents(s, d), targets(s, d), counts=_token_counts(s, d)),
+        "p8_shares": lambda s, d: mix.mix_shares(documents(s, d), targets(s, d), counts=_token_counts(s, d)),
         "p9_found": lambda s, d: pii.personal_information(documents(s, d)),
         "p9_redacted": lambda s, d: pii.redacted(documents(s, d)),
         "p9_surrogates": lambda s, d: pii.redacted(documents(s, d), style="surrogate"),
