@@ -490,17 +490,114 @@ def _sequence(d: Dialect) -> str:
     return f"SELECT trace_id, found, CASE found {arms} END AS missing FROM ({sql}) q"
 
 
+def _clamped(d: Dialect) -> str:
+    """Each adaptive constant before and after its bounds."""
+    noise = d.clamp("noise", "r.noise_floor")
+    span = "p.hot > p.cold"
+    derived = {
+        "noise": "r.noise_floor", "slope_noise": f"{noise} / r.si * 120", "stable_slope": "c.slope_noise * 3", "stable_variance": "c.noise * 2",
+        "ramp_slope": f"CASE WHEN (b.process_end - b.process_start) * r.si > 0 AND {span} THEN (p.hot - p.cold) / ((b.process_end - b.process_start) * r.si / 60) * 0.15 ELSE 1.0 END",
+        "overshoot": "c.noise * 4", "correction": "c.noise * 2", "cluster": f"CASE WHEN {span} THEN (p.hot - p.cold) * 0.1 ELSE 5.0 END", "min_region": "r.si * 10",
+    }
+    low, high = ("CASE parameter " + " ".join(f"WHEN '{name}' THEN {d.number(BOUNDS[name][k])}" for name in derived) + " END" for k in (0, 1))
+    each = " UNION ALL ".join(
+        f"SELECT r.trace_id, '{name}' AS parameter, {expr} AS derived FROM rep r JOIN bnd b ON b.trace_id = r.trace_id JOIN spt p ON p.trace_id = r.trace_id JOIN adc c ON c.trace_id = r.trace_id"
+        for name, expr in derived.items()
+    )
+    return f"""
+    SELECT trace_id, parameter, derived, greatest({low}, least({high}, derived)) AS value, derived < {low} OR derived > {high} AS was_clamped FROM ({each}) q"""
+
+
+def _summary(d: Dialect) -> str:
+    """One row a trace: what the report says first."""
+    count = lambda table, name: f"(SELECT trace_id, count(*) AS {name} FROM {table} GROUP BY trace_id)"
+    return f"""
+    SELECT o.trace_id, o.status, o.conformance_pct, p.hot AS hot_target_c, p.cold AS cold_target_c, r.duration / 3600 AS hours, tw.tolerance_c AS dwell_tolerance_c, tr.tolerance_c AS ramp_tolerance_c,
+           coalesce(g.regions, 0) AS regions, coalesce(v.ramps, 0) AS ramps, coalesce(c.cycles, 0) AS cycles, o.anomalies,
+           CASE WHEN o.status = 'INCONCLUSIVE' THEN 'Data quality blocks pass/fail' WHEN o.status = 'PASS' THEN 'Conformance reaches the threshold' ELSE 'Conformance below the threshold' END AS reason,
+           CASE WHEN o.conformance_pct >= 60 THEN 'CONFORMING' ELSE 'NON-CONFORMING' END AS recommendation
+    FROM ovr o JOIN rep r ON r.trace_id = o.trace_id LEFT JOIN spt p ON p.trace_id = o.trace_id
+    LEFT JOIN tol tw ON tw.trace_id = o.trace_id AND tw.parameter_name = 'dwell_setpoint_deviation' LEFT JOIN tol tr ON tr.trace_id = o.trace_id AND tr.parameter_name = 'ramp_deviation'
+    LEFT JOIN {count('reg', 'regions')} g ON g.trace_id = o.trace_id LEFT JOIN {count('vrm', 'ramps')} v ON v.trace_id = o.trace_id LEFT JOIN {count('cyc', 'cycles')} c ON c.trace_id = o.trace_id"""
+
+
+#: The report's sections in order: title, rows they come from, and the numbers of each row (name, expression), by a name for the row.
+_SECTIONS: tuple[tuple[str, str, str, tuple[tuple[str, str], ...], str], ...] = (
+    ("executive_summary", "exs", "'trace'", (("conformance_pct", "conformance_pct"), ("regions", "regions"), ("ramps", "ramps"), ("cycles", "cycles"), ("anomalies", "anomalies")), "status"),
+    ("input_file_summary", "rep", "'trace'", (("rows", "n"), ("sample_interval_s", "si"), ("duration_s", "duration")), "''"),
+    ("data_quality_summary", "qlt", "'trace'", (("missing_pct", "missing_pct"), ("duplicate_pct", "duplicate_pct"), ("spikes", "n_spikes"), ("gaps", "n_gaps")), "status"),
+    ("process_boundary_summary", "bnd", "'trace'", (("ambient_end", "ambient_end"), ("process_start", "process_start"), ("process_end", "process_end")), "''"),
+    ("setpoint_inference_summary", "spt", "'trace'", (("ambient_c", "ambient_c"), ("hot_c", "hot"), ("cold_c", "cold")), "mode"),
+    ("region_classification_summary", "reg", "region_id", (("minutes", "duration / 60"), ("mean_c", "mean_x")), "label"),
+    ("ramp_rate_validation_summary", "res", "region_id || ' ' || requirement", (("measured", "measured"), ("required", "required")), "status"),
+    ("cycle_level_summary", "cyc", "cycle_id", (("regions", "n_regions"), ("duration_s", "duration")), "status"),
+    ("overshoot_correction_summary", "dwm", "region_id", (("overshoot_c", "overshoot"), ("overshoot_s", "overshoot_s")), "label"),
+    ("profile_consistency_summary", "cns", "'trace'", (("consistency_score", "score"),), "''"),
+    ("visualisation", "rep", "'trace'", (("chart_rows", "n"),), "''"),
+    ("audit_trail", "ovr", "'trace'", (("phases", "phases"), ("passed", "passed"), ("failed", "failed")), "status"),
+    ("algorithm_appendix", "adc", "'trace'", (("noise", "noise"), ("slope_noise", "slope_noise"), ("min_region_s", "min_region")), "''"),
+)
+
+
+def _report_sections(d: Dialect) -> str:
+    """The report as rows: section, item and its number; a section without rows for a trace has a note instead."""
+    parts = []
+    for number, (title, table, name, values, note) in enumerate(_SECTIONS, 1):
+        where = " WHERE requirement LIKE 'RAMP_RATE%'" if title == "ramp_rate_validation_summary" else " WHERE overshoot > 0" if title == "overshoot_correction_summary" else ""
+        for item, expr in values:
+            parts.append(f"SELECT trace_id, {number} AS section_no, '{title}' AS section, {name} || ' {item}' AS item, CAST({expr} AS DOUBLE) AS value, {note} AS note FROM {table}{where}")
+        parts.append(
+            f"SELECT r.trace_id, {number}, '{title}', 'none', CAST(NULL AS DOUBLE), 'Not applicable' FROM rep r LEFT JOIN (SELECT DISTINCT trace_id FROM {table}{where}) h ON h.trace_id = r.trace_id WHERE h.trace_id IS NULL"
+        )
+    return " UNION ALL ".join(parts)
+
+
+def _chart(d: Dialect) -> str:
+    """The chart's lines as rows, the measured temperature on top; without a logged setpoint the inferred ones as straight lines."""
+    line = lambda name, level: f"SELECT p.trace_id, '{name}' AS series, e.x AS x_seconds, p.{level} AS y_c, 5 AS layer FROM spt p JOIN ends e ON e.trace_id = p.trace_id WHERE p.mode = 'MODE_B' AND e.bare"
+    ends = "(SELECT trace_id, 0.0 AS x, bare FROM whole UNION ALL SELECT trace_id, hi AS x, bare FROM whole)"
+    whole = "(SELECT trace_id, max(t) AS hi, count(sp) = 0 AS bare FROM sig GROUP BY trace_id)"
+    lines = " UNION ALL ".join(line(n, c).replace("JOIN ends e", f"JOIN {ends.replace('FROM whole', f'FROM {whole} w')} e") for n, c in (("hot setpoint", "hot"), ("cold setpoint", "cold")))
+    return f"""
+    SELECT trace_id, 'measured' AS series, t AS x_seconds, x AS y_c, 10 AS layer FROM sig
+    UNION ALL SELECT trace_id, 'setpoint', t, sp, 8 FROM sig WHERE sp IS NOT NULL
+    UNION ALL SELECT trace_id, 'analysis signal', t, clean, 5 FROM sig
+    UNION ALL {lines}"""
+
+
+def _audit(d: Dialect) -> str:
+    """What each step decided, in the order of the steps."""
+    none, whole = "CAST(NULL AS DOUBLE)", "'trace'"
+    steps = [
+        ("trace_builder", "build_canonical_trace", whole, "'SUCCESS'", none, "n", "0", "'INFO'", "rep"),
+        ("signal_processor", "preprocess_trace", whole, "'SUCCESS'", "noise_floor", "n", "n_spikes", "'INFO'", "rep"),
+        ("quality_gating", "assess_data_quality", whole, "q.status", none, "0", "0", "CASE WHEN q.blocked THEN 'ERROR' WHEN q.blocks_pass_fail THEN 'WARNING' ELSE 'INFO' END", "gate q"),
+        ("process_boundaries", "detect_process_boundaries", whole, "'SUCCESS'", none, "usable_end - process_start + 1", "n - (usable_end - process_start + 1)", "'INFO'", "bnd"),
+        ("setpoint_inference", "resolve_setpoints", whole, "mode", none, "0", "0", "'INFO'", "spt"),
+        ("region_classification", "classify_region", "region_id", "label", none, "n_rows", "0", "'INFO'", "reg"),
+        ("ramp_extractor", "isolate_valid_ramp", "region_id", "direction", "monotonicity", "n_rows", "excluded_rows", "'INFO'", "vrm"),
+        ("cycle_detector", "detect_cycle", "cycle_id", "status", none, "end_row - start_row + 1", "0", "'INFO'", "cyc"),
+        ("tolerance_resolver", "TOLERANCE_RESOLVED", "parameter_name", "tolerance_source", "tolerance_c", "0", "0", "'INFO'", "tol"),
+        ("validation_rules", "validate_requirement", "region_id || ' ' || requirement", "status", "required", "0", "0", "'INFO'", "res"),
+        ("aggregation", "aggregate_validation_status", whole, "status", "conformance_pct", "0", "0", "CASE WHEN status = 'INCONCLUSIVE' THEN 'WARNING' ELSE 'INFO' END", "ovr"),
+    ]
+    return " UNION ALL ".join(
+        f"SELECT trace_id, {k} AS step, '{module}' AS module, '{action}' AS action, {subject} AS subject, {decision} AS decision, CAST({threshold} AS DOUBLE) AS threshold, {used} AS rows_used, {left} AS rows_excluded, {severity} AS severity FROM {table}"
+        for k, (module, action, subject, decision, threshold, used, left, severity, table) in enumerate(steps, 1)
+    )
+
+
 STAGES: dict[str, Callable[[Dialect], str]] = {
     "flg": _flags, "rep": _report, "qlt": _quality, "gate": _gate, "slp": _slope_rows, "bth": _thresholds, "bnd0": _ends, "amb": _ambient, "cst": _cusum_steps,
     "bnd": _boundaries, "plt": _plateaus, "stb": _stable, "spt": _setpoints, "adc": _constants, "tol": _tolerance, "run": _runs, "rrn": _region_runs, "mrg": _merged,
     "rgr": _region_rows, "reg": _regions, "evd": _evidence, "rmr": _ramp_rows, "env": _envelope, "vrr0": _valid_rows, "vrm": _valid_ramps, "vrr": _valid_ramp_rows,
     "rmm": _ramp_metrics, "dwr": _dwell_rows, "dwm": _dwell_metrics, "dws": _dwell_order, "cyb": _cycle_bounds, "cyc": _cycles, "cym": _cycle_metrics,
-    "cyo": lambda d: _cycle_metrics(d, own=True), "res": _results, "phs": _phases, "ovr": _overall, "cyn": _cycle_count, "sus": _sustained, "dwl": _dwell_limits, "dst": _distribution, "seq": _sequence, "drf": _drift, "cns": _consistency,
+    "cyo": lambda d: _cycle_metrics(d, own=True), "res": _results, "phs": _phases, "ovr": _overall, "cyn": _cycle_count, "sus": _sustained, "acl": _clamped, "exs": _summary, "sec": _report_sections, "crt": _chart, "aud": _audit, "dwl": _dwell_limits, "dst": _distribution, "seq": _sequence, "drf": _drift, "cns": _consistency,
 }
 
 _FRAME = "ROWS BETWEEN half PRECEDING AND half FOLLOWING"
 #: Stages that depend on the profile.
-PROFILED = frozenset("tol res phs ovr cyn seq sus dwl".split())
+PROFILED = frozenset("tol res phs ovr cyn seq sus dwl exs sec aud".split())
 #: What operators make on Spark, as SQL for DuckDB.
 DUCK_SOURCES = {
     "can": """
@@ -557,8 +654,9 @@ def doubles(sql: str) -> str:
     return re.sub(r"(?<![\w.'%])\d+\.\d+(?![\w.'])", r"\g<0>e0", sql)
 
 
-def render(select: str, dialect: Dialect) -> str:
-    """The statement with all stages it needs in front."""
+def render(select: str, dialect: Dialect, own: dict[str, str] | None = None) -> str:
+    """The statement with all stages it needs in front; own statements stand for the stages of their names."""
+    own = own or {}
     order: list[tuple[str, str]] = []
     seen: set[str] = set()
 
@@ -566,7 +664,7 @@ def render(select: str, dialect: Dialect) -> str:
         for name in needs(sql):
             if name not in seen:
                 seen.add(name)
-                body = STAGES[name](dialect) if name in STAGES else DUCK_SOURCES[name]
+                body = own[name] if name in own else STAGES[name](dialect) if name in STAGES else DUCK_SOURCES[name]
                 visit(body)
                 order.append((name, body))
 

@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 from tracelake.functions.profiles import REPORT_ONLY, STANDARD, Profile
 from tracelake.operators.signal import canonical_trace, sustained_start, trace_frames, trace_signals
 from tracelake.operators.slopes import ramp_slopes
+from tracelake.plans.checks import independent
 from tracelake.plans.stages import DUCK_SOURCES, PROFILED, STAGES, Dialect, doubles, needs, render
 from tracelake.session import fingerprint, table, use_utc, write_shared
 
@@ -25,6 +26,15 @@ def _r(columns: str, digits: int = 6) -> str:
     return ", ".join(out)
 
 
+def _half_up(columns: str, digits: int) -> str:
+    """Columns rounded for a report, halves up on either engine."""
+    out = []
+    for part in columns.split(", "):
+        expr, _, name = part.partition(" AS ")
+        out.append(f"floor(round({expr}, 6) * 1e{digits} + 5e-1) / 1e{digits} AS {name or expr}")
+    return ", ".join(out)
+
+
 def _n(columns: str) -> str:
     """Columns as BIGINT."""
     out = []
@@ -37,6 +47,13 @@ def _n(columns: str) -> str:
 _RANK = "CASE worst WHEN 4 THEN 'FAIL' WHEN 3 THEN 'INCONCLUSIVE' WHEN 2 THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END"
 _RESULT = f"trace_id, region_id, requirement, {_r('measured, required')}, status"
 
+#: Colours of regions on a chart.
+COLOURS = {
+    "HEATING_RAMP": "#FF8C00", "COOLING_RAMP": "#4169E1", "HOT_DWELL": "#228B22", "COLD_DWELL": "#32CD32", "AMBIENT_START": "#808080", "HOT_OVERSHOOT": "#DC143C",
+    "COLD_OVERSHOOT": "#0000CD", "HOT_CORRECTION": "#FF6347", "COLD_CORRECTION": "#4682B4", "RECOVERY": "#9370DB", "TRANSIENT": "#DAA520", "UNKNOWN": "#696969",
+}
+_COLOUR = "CASE g.label " + " ".join(f"WHEN '{label}' THEN '{colour}'" for label, colour in COLOURS.items()) + " END"
+
 #: The last SELECT of each query.
 SELECTS: dict[str, str] = {
     "canonical_trace": f"SELECT trace_id, row_idx, {_r('t AS elapsed_seconds, elapsed_minutes, x AS temperature_c, sp AS setpoint_c')}, missing FROM can",
@@ -103,12 +120,17 @@ SELECTS: dict[str, str] = {
     "cycle_drift_detect": f"SELECT trace_id, drift_detected, {_r('heating_slope, cooling_slope, dwell_stability, cycle_duration', 4)} FROM drf",
     "consistency_score": f"SELECT trace_id, {_r('score', 4)} FROM cns",
     "anomalies": f"SELECT g.trace_id, g.region_id, g.label, {_r('mean_x')} FROM reg g JOIN phs p ON p.trace_id = g.trace_id AND p.region_id = g.region_id WHERE p.worst >= 2",
-    "phase_table": f"SELECT g.trace_id, CAST(row_number() OVER (PARTITION BY g.trace_id ORDER BY g.start_row) AS BIGINT) AS phase_no, g.label, {_r('g.target AS target_c', 1)}, {_r('r.robust AS slope_c_per_min', 2)}, {_r('w.mean_x AS mean_c, w.deviation AS deviation_c', 1)}, {_r('g.duration / 60 AS minutes', 1)}, CASE WHEN p.worst >= 2 THEN 'ANOMALY' ELSE 'OK' END AS verdict FROM reg g LEFT JOIN rmm r ON r.trace_id = g.trace_id AND r.region_no = g.region_no LEFT JOIN dwm w ON w.trace_id = g.trace_id AND w.region_no = g.region_no LEFT JOIN phs p ON p.trace_id = g.trace_id AND p.region_id = g.region_id",
+    "phase_table": f"SELECT g.trace_id, CAST(row_number() OVER (PARTITION BY g.trace_id ORDER BY g.start_row) AS BIGINT) AS phase_no, g.label, {_half_up('g.target AS target_c', 1)}, {_half_up('r.robust AS slope_c_per_min', 2)}, {_half_up('w.mean_x AS mean_c, w.deviation AS deviation_c', 1)}, {_half_up('g.duration / 60 AS minutes', 1)}, CASE WHEN p.worst >= 2 THEN 'ANOMALY' ELSE 'OK' END AS verdict FROM reg g LEFT JOIN rmm r ON r.trace_id = g.trace_id AND r.region_no = g.region_no LEFT JOIN dwm w ON w.trace_id = g.trace_id AND w.region_no = g.region_no LEFT JOIN phs p ON p.trace_id = g.trace_id AND p.region_id = g.region_id",
     "ramp_summary": f"SELECT {_RESULT} FROM res WHERE requirement LIKE '%RAMP_RATE%'",
     "cycle_summary": f"SELECT trace_id, cycle_id, status, {_n('n_regions')}, {_r('duration')} FROM cyc",
     "overshoot_summary": f"SELECT trace_id, region_id, label, {_r('overshoot, overshoot_s')} FROM dwm WHERE overshoot > 0",
-    "region_overlay": f"SELECT g.trace_id, g.region_id, g.label, {_r('g.start_t AS x0, g.end_t AS x1')}, CASE WHEN p.worst >= 2 THEN 'anomaly' ELSE 'normal' END AS shade FROM reg g LEFT JOIN phs p ON p.trace_id = g.trace_id AND p.region_id = g.region_id",
+    "region_overlay": f"SELECT g.trace_id, g.region_id, g.label, {_r('g.start_t AS x0, g.end_t AS x1')}, CASE WHEN p.worst >= 2 THEN 'anomaly' ELSE 'normal' END AS shade, {_COLOUR} AS colour FROM reg g LEFT JOIN phs p ON p.trace_id = g.trace_id AND p.region_id = g.region_id",
     "chart_annotations": f"SELECT r.trace_id, r.region_id, r.requirement, r.status, {_r('s.t AS x_seconds')} FROM res r JOIN reg g ON g.trace_id = r.trace_id AND g.region_id = r.region_id JOIN sig s ON s.trace_id = g.trace_id AND s.row_idx = CAST(floor((g.start_row + g.end_row) / 2) AS BIGINT) WHERE r.status <> 'PASS' AND r.requirement <> 'DWELL_DURATION'",
+    "executive_summary": f"SELECT trace_id, status, reason, recommendation, {_r('conformance_pct, hot_target_c, cold_target_c, hours, dwell_tolerance_c, ramp_tolerance_c')}, {_n('regions, ramps, cycles, anomalies')} FROM exs",
+    "report_sections": f"SELECT trace_id, CAST(section_no AS BIGINT) AS section_no, section, item, {_r('value')}, note FROM sec",
+    "trace_chart": f"SELECT trace_id, series, {_r('x_seconds, y_c')}, {_n('layer')} FROM crt",
+    "audit_log": f"SELECT trace_id, {_n('step')}, module, action, subject, decision, {_r('threshold')}, {_n('rows_used, rows_excluded')}, severity FROM aud",
+    "adaptive_clamped": f"SELECT trace_id, parameter, {_r('derived, value')}, was_clamped FROM acl",
     "audit_head": f"SELECT trace_id, region_id, requirement, status FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY region_id, requirement) AS seq FROM res) q WHERE seq <= 50",
 }
 #: Stages written when they are made, as others read them several times; the rest is part of its reader's plan.
@@ -201,5 +223,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {name: render(select, Dialect(duck=True)) for name, select in SELECTS.items()}
-    return out | {f"{name}_report_only": render(SELECTS[name], Dialect(duck=True, profile=REPORT_ONLY)) for name in REPORTED}
+    def sql(name: str, profile: Profile) -> str:
+        return render(SELECTS[name], Dialect(duck=True, profile=profile), independent(profile))
+
+    return {name: sql(name, STANDARD) for name in SELECTS} | {f"{name}_report_only": sql(name, REPORT_ONLY) for name in REPORTED}
