@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tests.traces import rows
-from tracelake.operators.signal import canonical_trace, signals, trace_frames, trace_signals
+from tracelake.operators.signal import canonical_trace, signals, sustained_start, trace_frames, trace_signals
 from tracelake.operators.slopes import _inversions, sustained_slope, theil_sen
 from tracelake.plans import texts, traces
 
@@ -71,6 +71,12 @@ def test_slopes_by_counting_match_all_pairs(monkeypatch):
         assert abs(theil_sen(t, x) - want) < 1e-8 * max(1, abs(want))
         assert theil_sen(np.zeros(n), x) == 0.0
         monkeypatch.undo()
+    for n in (5, 30, 120):  # times and values that repeat
+        t, x = rng.integers(0, n // 2, n).astype(float), rng.integers(0, 4, n).astype(float)
+        want = theil_sen(t, x)
+        monkeypatch.setattr(slopes, "DIRECT_ROWS", 0)
+        assert abs(theil_sen(t, x) - want) < 1e-8 * max(1, abs(want))
+        monkeypatch.undo()
     assert sustained_slope(np.arange(10.0), np.r_[np.arange(5.0), np.full(5, 4.0)], 20.0) == 0.0
 
 
@@ -119,8 +125,29 @@ def test_every_trace_query_matches_its_sql(spark, folder):
     assert traces.queries()["cycles"](spark, folder).count() > 2 and traces.queries()["valid_ramps"](spark, folder).count() > 5
 
 
+def test_queries_in_any_order_of_one_session(spark, folder):
+    """Backwards, with stages made anew, and once more from the stages that are there."""
+    traces.forget()
+    same(spark, folder, traces, [*reversed(traces.SELECTS), *(f"{n}_report_only" for n in traces.REPORTED)])
+    same(spark, folder, traces, ["validation_results", "regions", "phase_table", "tolerance"])
+
+
+@pytest.mark.parametrize("chunk", [4, 50, 10_000])
+def test_sustained_start_does_not_show_its_chunks(spark, chunk):
+    rng = np.random.default_rng(3)
+    cells, want = [], {}
+    for trace in "abc":
+        step, mc, n = rng.normal(-0.2, 1, 120).round(3), int(rng.integers(3, 9)), 120
+        hit = [i for i in range(n - mc + 1) if np.cumsum(step[i : i + mc]).min() > 0.4]
+        want[trace] = hit[0] if hit else n - 1
+        cells += [(trace, k, float(step[k]), 0.4, mc, n) for k in range(n)]
+    df = spark.createDataFrame(cells, "trace_id string, row_idx long, step double, thr double, mc long, n long")
+    assert {r[0]: r[1] for r in sustained_start(df, chunk_rows=chunk).collect()} == want
+    assert sustained_start(df.limit(0)).count() == 0
+
+
 def test_text_queries_match_their_sql(spark, folder):
-    same(spark, folder, texts, [n for n in texts.oracle_sql() if n != "column_detect"])
+    same(spark, folder, texts, [n for n in texts.oracle_sql() if n not in ("column_detect", "columns_by_name")])
     got = {r.reading_id: (r.kind, str(r.ts)) for r in texts.queries()["parse_timestamps"](spark, folder).collect()}
     assert got[1] == ("DD/MM/YYYY HH:MM:SS", "2024-12-31 10:00:00") and got[2] == ("Excel serial date", "2023-03-15 12:00:00")
     assert got[4] == ("Epoch seconds", "2023-11-14 22:13:20") and got[5] == ("elapsed_seconds", "2000-01-01 00:00:12.500000") and got[3][0] == "unknown"

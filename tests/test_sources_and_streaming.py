@@ -67,3 +67,12 @@ def test_live_flags_and_windows(spark, tmp_path):
     flags = {(r.row_idx, r.flag) for r in spark.table("flags").collect()}
     assert flags == {(2, "DUPLICATE_TIMESTAMP"), (3, "OUT_OF_ORDER"), (4, "GAP")}
     assert [(r.n, r.max_c) for r in spark.table("windows").orderBy("window_start").collect()] == [(3, 22.0), (1, 23.0)]
+
+
+def test_data_equal_to_a_line_before_the_header_is_kept(spark, tmp_path):
+    path = tmp_path / "f.log"
+    path.write_text("a,b\n1,2\n\nTime,Temp\n3,4\nTime,Temp\n1,2\n")
+    # the first two lines are a table of their own, which is read
+    assert [tuple(r) for r in load_trace_file(spark, str(path)).collect()] == [("1", "2"), ("Time", "Temp"), ("3", "4"), ("Time", "Temp"), ("1", "2")]
+    path.write_bytes("Tür\n\nTime\tTemp\n3\t4\nTime\tTemp\nTür\n5\t6\n".encode("latin-1"))
+    assert [tuple(r) for r in load_trace_file(spark, str(path)).collect()] == [("3", "4"), ("Time", "Temp"), ("5", "6")]

@@ -48,21 +48,30 @@ def theil_sen(t: np.ndarray, x: np.ndarray) -> float:
         dt = t[j] - t[i]
         ahead = dt > 0
         return float(np.median((x[j] - x[i])[ahead] / dt[ahead]) * 60) if ahead.any() else 0.0
-    order = np.argsort(t, kind="stable")
+    order = np.lexsort((x, t))
     t, x = t[order], x[order]
-    if (np.diff(t) <= 0).any():  # pairs of equal time are none: looked at time by time
-        parts = [((x[k + 1 :] - x[k]) / (t[k + 1 :] - t[k]))[t[k + 1 :] > t[k]] for k in range(len(t) - 1)]
-        slopes = np.concatenate(parts)
-        return float(np.median(slopes) * 60) if len(slopes) else 0.0
-    later = np.arange(len(t))
-    pairs = len(t) * (len(t) - 1) // 2
-    steps = np.abs(np.diff(x) / np.diff(t)).max()
+    starts = np.flatnonzero(np.append(True, np.diff(t) > 0))
+    sizes = np.diff(np.append(starts, len(t)))
+    pairs = len(t) * (len(t) - 1) // 2 - int((sizes * (sizes - 1) // 2).sum())
+    if pairs == 0:
+        return 0.0
+    same = np.flatnonzero(np.append(True, (np.diff(t) > 0) | (np.diff(x) != 0)))
+    copies = np.diff(np.append(same, len(t)))
+    equal = int((copies * (copies - 1) // 2).sum())  # pairs of one time and value: no pairs, but counted below as level ones
+    low, high = np.minimum.reduceat(x, starts), np.maximum.reduceat(x, starts)
+    rise = np.maximum(np.abs(high[1:] - low[:-1]), np.abs(low[1:] - high[:-1])) / np.diff(t[starts])
+    steps, later = rise.max(), np.arange(len(t))
+
+    def at_most(slope: float) -> int:
+        # of one time, the rows of smaller height first: then none of their pairs falls
+        place = np.lexsort((x - slope * t, t))
+        return _pairs_at_most(t[place], x[place], slope, later) - equal
 
     def select(k: int) -> float:
         low, high = -steps - 1e-12, steps + 1e-12
         while np.nextafter(low, high) < high and high - low > 1e-13 * max(1.0, abs(low), abs(high)):
             middle = (low + high) / 2
-            if _pairs_at_most(t, x, middle, later) >= k:
+            if at_most(middle) >= k:
                 high = middle
             else:
                 low = middle

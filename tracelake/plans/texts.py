@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import texts
+from tracelake.operators import columns, drift
 from tracelake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +82,21 @@ def temp_convert(trace_rows: DataFrame) -> DataFrame:
     )
 
 
+def trace_celsius(trace_rows: DataFrame) -> DataFrame:
+    """Every row once with its temperature in °C by the unit its channel's name tells; null and NaN stay null."""
+    value = F.when(~F.isnan("temperature_c_raw"), F.col("temperature_c_raw"))
+    rows = trace_rows.filter("trace_id is not null and row_idx is not null and channel is not null").groupBy("trace_id", "row_idx", "channel").agg(F.min(value).alias("v"))
+    unit = texts.temperature_unit(F.col("channel"))
+    return rows.select("trace_id", "row_idx", unit.alias("unit"), F.round(texts.to_celsius(F.col("v"), unit), 4).alias("temperature_c"))
+
+
+def content_columns(raw_traces: DataFrame, least: int = 3) -> DataFrame:
+    """Columns by content of the few rows that raw_traces holds of each file (so few values are enough)."""
+    cells = drift.cells(raw_traces).select("source_file", F.col("channel_name").alias("column"), F.col("record_no").alias("row_no"), F.expr("variant_get(value, '$', 'string')").alias("text"))
+    head = raw_traces.filter("source_file is not null").select("source_file", F.posexplode("column_names").alias("place", "column")).groupBy("source_file", "column").agg(F.min("place").alias("place"))
+    return columns.columns_by_content(cells.join(head, ["source_file", "column"]), least)
+
+
 def is_numeric(raw_lines: DataFrame) -> DataFrame:
     """Per file how many comma-, tab-, semicolon- or bar-separated fields are numbers."""
     fields = raw_lines.filter("source_file is not null").select("source_file", F.explode(F.split("line_text", "[,\t;|]")).alias("f"))
@@ -98,6 +114,10 @@ def queries() -> dict[str, Query]:
         "parse_timestamps": on("reading_stamps", parsed_stamps),
         "column_detect": on("raw_traces", column_detect),
         "temp_convert": on("trace_rows", temp_convert),
+        "trace_celsius": on("trace_rows", trace_celsius),
+        "columns_by_name": on("raw_traces", columns.columns_by_name),
+        "columns_by_content": on("raw_traces", content_columns),
+        "header_rows": on("raw_lines", columns.header_rows),
     }
 
 
@@ -124,11 +144,18 @@ def oracle_sql() -> dict[str, str]:
     counts = ", ".join(f"sum(coalesce(length(line_text) - length(replace(line_text, '{d}', '')), 0)) AS d{i}" for i, d in enumerate(texts.DELIMITERS))
     unit = "CASE WHEN regexp_matches(lower(channel), 'temp.*f|fahrenheit|°f|deg ?f') THEN 'F' WHEN regexp_matches(lower(channel), 'temp.*\\(?\\s*k\\)?$|kelvin|\\(k\\)') THEN 'K' ELSE 'C' END"
     value = "CASE WHEN NOT isnan(temperature_c_raw) THEN temperature_c_raw END"
+    by_name = lambda patterns: "coalesce(" + ", ".join(f"list_filter(column_names, lambda x: regexp_matches(lower(x), '{p}'))[1]" for p in patterns) + ")"
+    words = f"list_filter(f, lambda x: NOT {_IS('trim(x)')})"
     return {
+        "trace_celsius": f"SELECT trace_id, row_idx, unit, round(CASE unit WHEN 'F' THEN (v - 32) * 5 / 9 WHEN 'K' THEN v - 273.15 ELSE v END, 4) AS temperature_c FROM (SELECT trace_id, row_idx, any_value({unit}) AS unit, min({value}) AS v FROM trace_rows WHERE trace_id IS NOT NULL AND row_idx IS NOT NULL AND channel IS NOT NULL GROUP BY trace_id, row_idx, channel) q",
+        "columns_by_name": f"SELECT source_file, {by_name(columns.TIME_NAMES)} AS time_column, {by_name(columns.TEMPERATURE_NAMES)} AS temperature_column, {by_name(columns.SETPOINT_NAMES)} AS setpoint_column FROM raw_traces WHERE source_file IS NOT NULL",
+        "header_rows": f"""
+            SELECT source_file, CAST(CASE WHEN bool_or(line_no = 0 AND len(f) - len({words}) >= 2) THEN 0 ELSE coalesce(min(CASE WHEN len({words}) >= 2 THEN line_no END), 0) END AS BIGINT) AS header_rows
+            FROM (SELECT source_file, line_no, list_filter(string_split(line_text, ','), lambda x: trim(x) <> '') AS f FROM raw_lines WHERE source_file IS NOT NULL AND line_no < 20) q GROUP BY source_file""",
         "header_scan": f"""
             SELECT source_file, CAST(min(line_no) AS BIGINT) AS header_row
             FROM (SELECT source_file, line_no, string_split(line_text, '\t') AS own, string_split(lead(line_text) OVER (PARTITION BY source_file ORDER BY line_no), '\t') AS following
-                  FROM raw_lines WHERE source_file IS NOT NULL AND line_no < 200) q
+                  FROM raw_lines WHERE source_file IS NOT NULL) q
             WHERE len(own) >= 2 AND len(following) >= 2 AND len(list_filter(own, lambda x: trim(x) <> '')) > 0
               AND len(list_filter(own, lambda x: trim(x) <> '' AND {_IS('x')})) = 0 AND {_IS('following[1]')} GROUP BY source_file""",
         "detect_delimiter": f"""

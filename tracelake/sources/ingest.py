@@ -13,7 +13,7 @@ from tracelake.functions.texts import NUMERIC
 
 HEAD_BYTES, HEAD_LINES, SKIP_LINES = 65536, 20, 5
 #: Tried in this order; the first that gives two columns and a row of data is taken.
-LADDER = (("\t", "utf-8"), (",", "utf-8"), (";", "utf-8"), ("|", "utf-8"), ("\t", "latin-1"), (",", "latin-1"))
+LADDER = (("\t", "utf-8"), (",", "utf-8"), (";", "utf-8"), ("|", "utf-8"), ("\t", "latin-1"), (",", "latin-1"), ("\t", "cp1252"))
 BOMS = ((b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"), (b"\xef\xbb\xbf", "utf-8"))
 
 
@@ -67,16 +67,21 @@ def sniff(spark: SparkSession, path: str) -> tuple[str, str, int]:
 def load_trace_file(spark: SparkSession, path: str, channel: str | None = None) -> DataFrame:
     """All columns of a delimited file as text; lines with another number of fields are dropped.
 
-    An unknown channel is an error. The lines before the header are skipped by content, as a split has no line numbers.
+    An unknown channel is an error. The lines up to the header are skipped by their number in the file.
     """
     separator, encoding, skip = sniff(spark, path)
     text = _head(spark, path).decode(encoding, errors="ignore").lstrip("﻿")
     names = _rows(text, separator)[skip]
     if channel is not None and channel not in names:
         raise InputFormatError(f"{path}: no channel {channel!r}")
-    preamble = [line.rstrip("\r") for line in text.split("\n")[: skip + 1]]
     lines = spark.read.option("encoding", encoding.replace("latin-1", "iso-8859-1")).option("lineSep", "\n").csv(path, sep="\x01", quote="", escape="").toDF("line") if encoding != "utf-8" else spark.read.text(path).toDF("line")
-    body = lines.withColumn("line", F.regexp_replace("line", "^﻿|\r$", "")).filter(~F.col("line").isin(preamble) & (F.trim("line") != ""))
+    # lines are numbered from the start of the file's first block; an empty line of a csv read has no row, so those before the header don't count
+    numbered = lines.select("line", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    begin = numbered.filter("block = 0").agg(F.min("id")).first()[0] or 0  # one number
+    if encoding != "utf-8":
+        skip -= sum(line.strip("\r\ufeff") == "" for line in text.split("\n")[:skip])
+    own = (F.col("block") > 0) | (F.col("id") > begin + skip)
+    body = numbered.filter(own).withColumn("line", F.regexp_replace("line", "^\ufeff|\r$", "")).filter(F.trim("line") != "")
     # Spark marks a line with another number of fields as corrupt; an empty field and an absent one are both null
     fields = F.from_csv("line", ", ".join(f"`c{i}` string" for i in range(len(names))) + ", `bad` string", {"sep": separator, "columnNameOfCorruptRecord": "bad"})
     parsed = body.select(fields.alias("f")).filter("f.bad is null")

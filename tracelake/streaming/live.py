@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATE = "10 minutes"
 GAP_INTERVALS, DUPLICATE_SECONDS = 3.0, 0.001
+#: A trace that is silent for so long (event time) is forgotten.
+IDLE_MS = 24 * 3600 * 1000
 _OUT = "trace_id string, row_idx long, ts timestamp, flag string"
 _STATE = "last_s double, interval_s double"
 
@@ -25,28 +28,27 @@ def windowed_statistics(stream: DataFrame, length: str = "1 minute", late: str =
 
 
 def _flag(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, interval = state.get if state.exists else (None, None)
-    for frame in frames:
-        out = []
-        for row_idx, ts, step in frame.sort_values("row_idx")[["row_idx", "at", "sample_interval_seconds"]].itertuples(index=False):
-            now = ts.timestamp()
-            interval = float(step) if step is not None and step == step and step > 0 else interval
-            if last is not None:
-                gone = now - last
-                flag = (
-                    "OUT_OF_ORDER" if gone < 0 else "DUPLICATE_TIMESTAMP" if gone < DUPLICATE_SECONDS
-                    else "GAP" if interval is not None and gone > GAP_INTERVALS * interval else None
-                )
-                if flag:
-                    out.append((key[0], int(row_idx), ts, flag))
-            last = now
-        yield pd.DataFrame(out, columns=["trace_id", "row_idx", "ts", "flag"])
-    if last is not None:
-        state.update((last, interval if interval is not None else float("nan")))
+    if state.hasTimedOut:
+        state.remove()
+        return
+    last, interval = state.get if state.exists else (np.nan, np.nan)
+    whole = pd.concat(list(frames), ignore_index=True).sort_values("row_idx", kind="stable")
+    now = whole["at"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
+    step = whole["sample_interval_seconds"].astype("float64").to_numpy()
+    known = pd.Series(np.append(interval, np.where(step > 0, step, np.nan))).ffill().to_numpy()[1:]
+    gone = now - np.append(last, now[:-1])
+    flag = np.select([gone < 0, gone < DUPLICATE_SECONDS, gone > GAP_INTERVALS * known], ["OUT_OF_ORDER", "DUPLICATE_TIMESTAMP", "GAP"], "")
+    told = flag != ""
+    yield pd.DataFrame({"trace_id": key[0], "row_idx": whole["row_idx"].to_numpy()[told], "ts": whole["at"].to_numpy()[told], "flag": flag[told]})
+    state.update((float(now[-1]), float(known[-1])))
+    state.setTimeoutTimestamp(max(int(now.max() * 1000), state.getCurrentWatermarkMs()) + IDLE_MS)
 
 
 def live_flags(stream: DataFrame, late: str = LATE) -> DataFrame:
-    """Gaps, repeated and out-of-order times, in order of arrival; the state of a trace is its last time and interval."""
+    """Gaps, repeated and out-of-order times, in order of arrival; the state of a trace is its last time and interval.
+
+    Rows of one micro-batch are put in order of row_idx; a row that arrives in a later batch counts as arriving then.
+    """
     timed = stream.filter("trace_id is not null and row_idx is not null and ts is not null").withColumn("at", F.col("ts").cast("timestamp"))
     keyed = timed.withWatermark("at", late).select("trace_id", "row_idx", "at", "sample_interval_seconds").groupBy("trace_id")
-    return keyed.applyInPandasWithState(_flag, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return keyed.applyInPandasWithState(_flag, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
