@@ -1,9 +1,12 @@
+import zipfile
+from xml.etree import ElementTree
+
 import pytest
 
 from tests.traces import rows
 from tracelake.plans.texts import header_scan
 from tracelake.sources.ingest import InputFormatError, detect_encoding, load_log_file, load_trace_file
-from tracelake.sources.sinks import html_report, write_csv, write_json
+from tracelake.sources.sinks import html_report, write_csv, write_json, write_xlsx
 from tracelake.streaming.live import live_flags, windowed_statistics
 
 
@@ -52,6 +55,13 @@ def test_sinks(spark, tmp_path):
     write_json(df, f"{tmp_path}/j")
     write_csv({"section": df}, f"{tmp_path}/c")
     assert spark.read.json(f"{tmp_path}/j").count() == 1 and spark.read.option("header", True).csv(f"{tmp_path}/c/section").first().v == '["a"]'
+    write_xlsx({"a/b": df, "A_b": None}, f"{tmp_path}/book.xlsx")
+    with zipfile.ZipFile(f"{tmp_path}/book.xlsx") as book:
+        assert len(book.namelist()) == 6
+        for name in book.namelist():
+            ElementTree.fromstring(book.read(name))
+        cells = [c.text for c in ElementTree.fromstring(book.read("xl/worksheets/sheet1.xml")).iter() if c.text]
+    assert cells == ["k", "v", "n", "1", "['a']"]
     page = html_report("<t>", {"one": df, "none": None})
     assert "&lt;t&gt;" in page and "Not applicable" in page
 

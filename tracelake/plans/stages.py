@@ -247,22 +247,45 @@ def _regions(d: Dialect) -> str:
 
 
 def _evidence(d: Dialect) -> str:
+    """Weighted evidence of each region for each kind of region; every feature is a number from 0 to 1.
+
+    Of a ramp's 15 weighted features all but one are there (gaps inside a region count for nothing, weight 0.01); rising and
+    falling exclude each other, so a ramp reaches 0.84 at most.
+    """
     unit = lambda e: f"greatest(0.0, least(1.0, {e}))"
-    return f"""
-    SELECT trace_id, region_id, ramp_score, dwell_score, transient_score, unknown_score, best, best - second AS margin, best - second < 0.1 AS ambiguous,
+    share = lambda condition: f"avg(CASE WHEN {condition} THEN 1.0 ELSE 0.0 END)"
+    dwell = lambda label: f"CASE WHEN {label} IN ('HOT_DWELL', 'COLD_DWELL', 'AMBIENT_START') THEN 1.0 ELSE 0.0 END"
+    over = "PARTITION BY g.trace_id ORDER BY g.region_no"
+    names = "ramp dwell overshoot correction transient unknown".split()
+    scores = [f"{n}_score" for n in names]
+    others = lambda own: ", ".join(x for x in scores if x != own)
+    second = " ".join(f"WHEN {x} = best THEN greatest({others(x)})" for x in scores)
+    return f"""
+    SELECT trace_id, region_id, {', '.join(scores)}, best, best - second AS margin, best - second < 0.1 AS ambiguous,
            CASE WHEN best >= 0.8 THEN 'HIGH' WHEN best >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS confidence
-    FROM (SELECT *, greatest(ramp_score, dwell_score, transient_score, unknown_score) AS best,
-                 CASE WHEN ramp_score >= dwell_score THEN greatest(dwell_score, least(ramp_score, transient_score), transient_score) ELSE greatest(ramp_score, transient_score) END AS second
-          FROM (SELECT *, 0.3 * (1 - long_enough) + 0.2 * (1 - steep) + 0.2 * wide + 0.15 * (1 - steady) + 0.15 * (1 - close_) AS transient_score,
-                       0.3 * (1 - greatest(ramp_score, dwell_score)) + 0.3 * (1 - abs(ramp_score - dwell_score)) AS unknown_score
-                FROM (SELECT trace_id, region_id, long_enough, steep, wide, steady, close_,
-                             0.15 * up + 0.15 * down + 0.1 * greatest(up, down) + 0.08 * steep + 0.07 * long_enough + 0.05 * steady AS ramp_score,
-                             0.2 * steady + 0.2 * close_ + 0.15 * long_enough + 0.15 * in_band + 0.1 * (1 - wide) + 0.05 * still AS dwell_score
-                      FROM (SELECT g.trace_id, g.region_id, {unit('max(g.duration) / 60')} AS long_enough, {unit('1 - max(g.std_x) / 3')} AS steady,
-                                   {unit('(max(g.max_x) - min(g.min_x)) / 12')} AS wide, coalesce({unit('1 - max(abs(g.mean_x - g.target)) / 5')}, 0.0) AS close_,
-                                   coalesce(avg(CASE WHEN abs(r.x - g.target) <= {BAND_C} THEN 1.0 ELSE 0.0 END), 0.0) AS in_band, avg(CASE WHEN r.d0 = 'STABLE' THEN 1.0 ELSE 0.0 END) AS still,
-                                   avg(CASE WHEN r.s > 0.1 THEN 1.0 ELSE 0.0 END) AS up, avg(CASE WHEN r.s < -0.1 THEN 1.0 ELSE 0.0 END) AS down, {unit('abs(avg(r.s)) / 5')} AS steep
-                            FROM reg g JOIN rgr r ON r.trace_id = g.trace_id AND r.region_no = g.region_no GROUP BY g.trace_id, g.region_id) q) q) q) q"""
+    FROM (SELECT *, CASE {second} END AS second
+          FROM (SELECT *, greatest({', '.join(scores)}) AS best
+                FROM (SELECT *, 0.3 * (1 - long_enough) + 0.2 * (1 - steep) + 0.2 * wide + 0.15 * (1 - bounded) + 0.15 * (1 - greatest(ramp_score, dwell_score)) AS transient_score,
+                             0.3 * (1 - greatest(ramp_score, dwell_score)) + 0.3 * (1 - abs(ramp_score - dwell_score)) + 0.2 * (1 - steady) * (1 - steep) + 0.2 * (1 - close_) * (1 - greatest(up, down)) AS unknown_score
+                      FROM (SELECT *, 0.15 * up + 0.15 * down + 0.1 * leaves + 0.1 * arrives + 0.1 * one_way + 0.08 * steep + 0.05 * calm_end + 0.05 * steady + 0.07 * long_enough + 0.03 * (1 - back)
+                                      + 0.04 * bounded + 0.03 * greatest(up, down) + 0.02 * arrives * next_long + 0.02 * leaves * before_long AS ramp_score,
+                                   0.2 * steady + 0.2 * close_ + 0.15 * long_enough + 0.15 * in_band + 0.1 * (1 - wide) + 0.1 * clustered + 0.05 * bounded + 0.05 * still AS dwell_score,
+                                   CASE WHEN off <= 0 THEN 0.0 ELSE 0.25 * {unit('off / 5')} + 0.15 + 0.15 * returns + 0.1 * long_enough + 0.1 * bounded + 0.15 * wavers + 0.1 * (1 - {unit('settling_s / 300')}) END AS overshoot_score,
+                                   CASE WHEN off <= 0 THEN 0.0 ELSE 0.2 * returns + 0.2 * wavers + 0.15 * steady + 0.15 * (1 - {unit('settling_s / 300')}) + 0.15 * bounded + 0.15 * long_enough END AS correction_score
+                            FROM (SELECT q.*, n.leaves, n.arrives, n.before_long, n.next_long, (n.leaves + n.arrives) / 2 AS bounded, coalesce(w.overshoot, 0.0) AS off, coalesce(w.settling_s, 0.0) AS settling_s,
+                                         {unit('coalesce(w.oscillations, 0) / 3.0')} AS wavers, CASE WHEN w.in_band_s > 0 THEN 1.0 ELSE 0.0 END AS returns, 1 - {unit('coalesce(n.next_overshoot, 0.0) / 5')} AS calm_end
+                                  FROM (SELECT g.trace_id, g.region_no, max(g.region_id) AS region_id, {unit('max(g.duration) / 60')} AS long_enough, {unit('1 - max(g.std_x) / 3')} AS steady, {unit('(max(g.max_x) - min(g.min_x)) / 12')} AS wide,
+                                               coalesce({unit('1 - max(abs(g.mean_x - g.target)) / 5')}, 0.0) AS close_, CASE WHEN max(g.target) IS NOT NULL THEN 1.0 ELSE 0.0 END AS clustered,
+                                               coalesce(avg(CASE WHEN abs(r.x - g.target) <= {BAND_C} THEN 1.0 ELSE 0.0 END), 0.0) AS in_band, {share("r.d0 = 'STABLE'")} AS still,
+                                               {share('r.s > 0.1')} AS up, {share('r.s < -0.1')} AS down, greatest({share('r.s > 0')}, {share('r.s < 0')}) AS one_way, least({share('r.s > 0.1')}, {share('r.s < -0.1')}) AS back, {unit('abs(avg(r.s)) / 5')} AS steep
+                                        FROM reg g JOIN rgr r ON r.trace_id = g.trace_id AND r.region_no = g.region_no GROUP BY g.trace_id, g.region_no) q
+                                  JOIN (SELECT g.trace_id, g.region_no, {dwell(f"lag(g.label) OVER ({over})")} AS leaves,
+                                               {dwell(f"lead(g.label) OVER ({over})")} AS arrives,
+                                               coalesce({unit(f"lag(g.duration) OVER ({over}) / 60")}, 0.0) AS before_long,
+                                               coalesce({unit(f"lead(g.duration) OVER ({over}) / 60")}, 0.0) AS next_long,
+                                               lead(m.overshoot) OVER ({over}) AS next_overshoot
+                                        FROM reg g LEFT JOIN dwm m ON m.trace_id = g.trace_id AND m.region_no = g.region_no) n ON n.trace_id = q.trace_id AND n.region_no = q.region_no
+                                  LEFT JOIN dwm w ON w.trace_id = q.trace_id AND w.region_no = q.region_no) q) q) q) q) q"""
 
 
 def _ramp_rows(d: Dialect) -> str:
@@ -554,10 +577,12 @@ def _report_sections(d: Dialect) -> str:
 
 def _chart(d: Dialect) -> str:
     """The chart's lines as rows, the measured temperature on top; without a logged setpoint the inferred ones as straight lines."""
-    line = lambda name, level: f"SELECT p.trace_id, '{name}' AS series, e.x AS x_seconds, p.{level} AS y_c, 5 AS layer FROM spt p JOIN ends e ON e.trace_id = p.trace_id WHERE p.mode = 'MODE_B' AND e.bare"
-    ends = "(SELECT trace_id, 0.0 AS x, bare FROM whole UNION ALL SELECT trace_id, hi AS x, bare FROM whole)"
-    whole = "(SELECT trace_id, max(t) AS hi, count(sp) = 0 AS bare FROM sig GROUP BY trace_id)"
-    lines = " UNION ALL ".join(line(n, c).replace("JOIN ends e", f"JOIN {ends.replace('FROM whole', f'FROM {whole} w')} e") for n, c in (("hot setpoint", "hot"), ("cold setpoint", "cold")))
+    whole = "SELECT trace_id, max(t) AS hi, count(sp) = 0 AS bare FROM sig GROUP BY trace_id"
+    ends = f"(SELECT trace_id, 0.0 AS x, bare FROM ({whole}) w UNION ALL SELECT trace_id, hi AS x, bare FROM ({whole}) w)"
+    lines = " UNION ALL ".join(
+        f"SELECT p.trace_id, '{name} setpoint' AS series, e.x AS x_seconds, p.{name} AS y_c, 5 AS layer FROM spt p JOIN {ends} e ON e.trace_id = p.trace_id WHERE p.mode = 'MODE_B' AND e.bare"
+        for name in ("hot", "cold")
+    )
     return f"""
     SELECT trace_id, 'measured' AS series, t AS x_seconds, x AS y_c, 10 AS layer FROM sig
     UNION ALL SELECT trace_id, 'setpoint', t, sp, 8 FROM sig WHERE sp IS NOT NULL

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tracelake.functions.profiles import REPORT_ONLY, STANDARD, Profile
@@ -80,7 +81,7 @@ SELECTS: dict[str, str] = {
     "tolerance": f"SELECT trace_id, parameter_name, {_r('tolerance_c')}, tolerance_source FROM tol",
     "region_runs": f"SELECT trace_id, {_n('run_no, start_row, end_row')}, d0 AS direction, {_r('duration')} FROM rrn",
     "regions": f"SELECT trace_id, region_id, label, {_n('start_row, end_row, n_rows')}, {_r('duration, mean_x, std_x, min_x, max_x, target')} FROM reg",
-    "evidence_fusion": f"SELECT trace_id, region_id, {_r('ramp_score, dwell_score, transient_score, unknown_score', 8)}, confidence FROM evd",
+    "evidence_fusion": f"SELECT trace_id, region_id, {_r('ramp_score, dwell_score, overshoot_score, correction_score, transient_score, unknown_score, margin', 9)}, ambiguous, confidence FROM evd",
     "ramp_envelope": f"SELECT trace_id, region_id, {_n('env_start, env_end, env_stop')} FROM env",
     "ramp_monotonicity": f"SELECT trace_id, region_id, {_r('monotonicity')} FROM vrm",
     "ramp_stalls": f"SELECT trace_id, region_id, {_r('stall_s')}, {_n('reversals')} FROM vrm",
@@ -219,9 +220,21 @@ REPORTED = ("tolerance", "validation_results", "overall_status", "validate_seque
 
 def queries() -> dict[str, Query]:
     out = {name: (lambda s, d, select=select: analysis(s, d, select)) for name, select in SELECTS.items()}
+    out["result_json"] = result_json
     return out | {f"{name}_report_only": (lambda s, d, select=SELECTS[name]: analysis(s, d, select, REPORT_ONLY)) for name in REPORTED}
 
 
+def result_json(spark: SparkSession, folder: str) -> DataFrame:
+    """One JSON object a trace: summary, phases and results; what is null is left out."""
+    summary = analysis(spark, folder, "SELECT * FROM exs")
+    phases = analysis(spark, folder, SELECTS["phase_table"])
+    results = analysis(spark, folder, SELECTS["validation_results"])
+    each = lambda df, name: df.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c != "trace_id"]))).alias(name))
+    whole = summary.join(each(phases.select("trace_id", "phase_no", *[c for c in phases.columns if c not in ("trace_id", "phase_no")]), "phases"), "trace_id", "left")
+    whole = whole.join(each(results, "results"), "trace_id", "left")
+    return whole.select("trace_id", F.to_json(F.struct(*[c for c in whole.columns])).alias("result"))
+
+
 def oracle_sql() -> dict[str, str]:
     def sql(name: str, profile: Profile) -> str:
         return render(SELECTS[name], Dialect(duck=True, profile=profile), independent(profile))
