@@ -117,7 +117,7 @@ SELECTS: dict[str, str] = {
     "validation_results": f"SELECT {_RESULT} FROM res",
     "phase_conformance": f"SELECT trace_id, region_id, {_RANK} AS worst_status, worst >= 2 AS anomaly FROM phs",
     "overall_status": f"SELECT trace_id, {_n('phases, passed, failed, anomalies')}, {_r('conformance_pct', 4)}, status FROM ovr",
-    "metric_distribution": f"SELECT trace_id, metric, {_r('mean_v, std_v, min_v, max_v', 4)} FROM dst",
+    "metric_distribution": f"SELECT trace_id, metric, {_r('mean_v, std_v, min_v, max_v', 7)} FROM dst",
     "cycle_drift_detect": f"SELECT trace_id, drift_detected, {_r('heating_slope, cooling_slope, dwell_stability, cycle_duration', 4)} FROM drf",
     "consistency_score": f"SELECT trace_id, {_r('score', 4)} FROM cns",
     "anomalies": f"SELECT g.trace_id, g.region_id, g.label, {_r('mean_x')} FROM reg g JOIN phs p ON p.trace_id = g.trace_id AND p.region_id = g.region_id WHERE p.worst >= 2",
