@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracelake.operators._groups import groups, numbers, salted_join
 from tracelake.operators._slots import finite, micros
+from tracelake.session import materialize
 
 #: Fixed values of the signal stage.
 HAMPEL_HALF, HAMPEL_SIGMAS, MAD_TO_SIGMA, MAD_FLOOR = 5, 3.0, 1.4826, 1e-10
@@ -19,10 +20,10 @@ ROLLING_SECONDS, MOVING_C_PER_MIN, LEAST_SECONDS = 30.0, 0.1, 10.0
 CHUNK_ROWS = 8192
 _SCHEMA = pa.schema(
     [("trace_id", pa.string()), ("row_idx", pa.int64()), ("t", pa.float64()), ("x", pa.float64()), ("sp", pa.float64()), ("spike", pa.bool_())]
-    + [(n, pa.float64()) for n in ("clean", "med", "mad", "ls", "rs", "d2", "tm")]
+    + [(n, pa.float64()) for n in ("clean", "med", "mad", "ls", "rs", "d2", "tm", "d", "dn")]
     + [("dir", pa.string())]
 )
-_DDL = "trace_id string, row_idx long, t double, x double, sp double, spike boolean, clean double, med double, mad double, ls double, rs double, d2 double, tm double, dir string"
+_DDL = "trace_id string, row_idx long, t double, x double, sp double, spike boolean, clean double, med double, mad double, ls double, rs double, d2 double, tm double, d double, dn double, dir string"
 
 
 def canonical_trace(trace_rows: DataFrame) -> DataFrame:
@@ -44,12 +45,41 @@ def canonical_trace(trace_rows: DataFrame) -> DataFrame:
     )
 
 
-def trace_frames(canonical: DataFrame) -> DataFrame:
-    """Per trace: n, si (median of the positive steps, 1.0 if none), half (of the rolling frame) and mb (rows of LEAST_SECONDS)."""
-    step = F.col("t") - F.lag("t").over(Window.partitionBy("trace_id").orderBy("row_idx"))
-    steps = canonical.select("trace_id", step.alias("d"))
-    si = F.coalesce(F.expr("percentile(d, 0.5D) FILTER (WHERE d > 0)"), F.lit(1.0))
-    frames = steps.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"), si.alias("si"))
+def _chunk_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per chunk its rows, the times at its ends, and how often each positive step occurs."""
+    schema = pa.schema(
+        [("trace_id", pa.string()), ("chunk", pa.int64()), ("n", pa.int64()), ("first_t", pa.float64()), ("last_t", pa.float64()), ("step", pa.list_(pa.float64())), ("times", pa.list_(pa.int64()))]
+    )
+    for table, bounds in groups(batches, ("trace_id", "chunk")):
+        t, out = numbers(table, "t"), {f.name: [] for f in schema}
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            steps = np.diff(t[a:b])
+            values, counts = np.unique(steps[steps > 0], return_counts=True)
+            for name, x in zip(out, (table["trace_id"][int(a)].as_py(), table["chunk"][int(a)].as_py(), b - a, t[a], t[b - 1], values, counts)):
+                out[name].append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
+
+
+def trace_frames(canonical: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Per trace: n, si (median of the positive steps, 1.0 if none), half (of the rolling frame) and mb (rows of LEAST_SECONDS).
+
+    Steps are counted by value in chunks, those from chunk to chunk added, and the median is read from the counts in order,
+    so a trace's rows meet in no task.
+    """
+    cells = canonical.select("trace_id", F.floor(F.col("row_idx") / chunk_rows).cast("long").alias("chunk"), "row_idx", "t")
+    ordered = cells.repartition("trace_id", "chunk").sortWithinPartitions("trace_id", "chunk", "row_idx")
+    chunks = materialize(ordered.mapInArrow(_chunk_steps, "trace_id string, chunk long, n long, first_t double, last_t double, step array<double>, times array<long>"))
+    across = F.col("first_t") - F.lag("last_t").over(Window.partitionBy("trace_id").orderBy("chunk"))
+    between = chunks.select("trace_id", across.alias("step"), F.lit(1).cast("long").alias("times")).filter("step > 0")
+    inside = chunks.select("trace_id", F.explode(F.arrays_zip("step", "times")).alias("s")).select("trace_id", "s.step", "s.times")
+    counts = inside.unionByName(between).groupBy("trace_id", "step").agg(F.sum("times").alias("times"))
+    whole = Window.partitionBy("trace_id")
+    told = counts.withColumn("upto", F.sum("times").over(whole.orderBy("step"))).withColumn("all", F.sum("times").over(whole))
+    # the step at rank (n - 1) div 2 and at n div 2, from 0
+    at = lambda rank: F.min(F.when(F.col("upto") > F.expr(rank), F.col("step")))
+    middle = told.groupBy("trace_id").agg(((at("(`all` - 1) div 2") + at("`all` div 2")) / 2).alias("middle"))
+    sizes = chunks.groupBy("trace_id").agg(F.sum("n").alias("n"))
+    frames = sizes.join(middle, "trace_id", "left").select("trace_id", "n", F.coalesce("middle", F.lit(1.0)).alias("si"))
     half = F.floor(F.greatest(F.lit(3), F.floor(F.lit(ROLLING_SECONDS) / F.col("si"))) / 2).cast("long")
     return frames.withColumn("half", half).withColumn("mb", F.greatest(F.lit(5), F.floor(F.lit(LEAST_SECONDS) / F.col("si"))).cast("long"))
 
@@ -94,7 +124,8 @@ def signals(t: np.ndarray, x: np.ndarray, half: int, mb: int) -> dict[str, np.nd
     tm = np.full(n, np.nan)
     if n > mb:
         tm[mb:] = np.median(sliding_window_view(np.abs(np.nan_to_num(rs)), mb), axis=1)[: n - mb]
-    return {"spike": spike, "clean": np.where(spike, middle, x), "med": med, "mad": _framed_mad(x, med, half), "ls": ls, "rs": rs, "d2": d2, "tm": tm}
+    d = np.append(np.nan, np.diff(t))
+    return {"d": d, "dn": np.append(d[1:], np.nan), "spike": spike, "clean": np.where(spike, middle, x), "med": med, "mad": _framed_mad(x, med, half), "ls": ls, "rs": rs, "d2": d2, "tm": tm}
 
 
 def _signal_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +144,7 @@ def _signal_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def trace_signals(canonical: DataFrame, frames: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Every canonical row with spike, clean, med, mad, ls, rs, d2, tm (median of the mb slopes before) and dir.
+    """Every canonical row with spike, clean, med, mad, ls, rs, d2, tm (median of the mb slopes before), d and dn (time since the row before, until the next) and dir.
 
     The frames' size depends on the trace, which window frames cannot; a kernel works on chunks of chunk_rows rows with
     as many copied rows on either side as the frames reach, so a trace of any length is spread over tasks.

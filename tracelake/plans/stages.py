@@ -56,11 +56,10 @@ class Dialect:
 
 
 def _flags(d: Dialect) -> str:
+    gap = lambda step: f"{step} >= 0.001 AND {step} > 3 * par.si"
     return f"""
-    SELECT trace_id, row_idx, t, x, spike, d, ooo, dup, gap, lead(gap) OVER ({W}) AS gap_next, si
-    FROM (SELECT *, d < 0 AS ooo, d >= 0 AND d < 0.001 AS dup, d >= 0.001 AND d > 3 * si AS gap
-          FROM (SELECT sig.trace_id, row_idx, t, x, spike, si, t - lag(t) OVER (PARTITION BY sig.trace_id ORDER BY row_idx) AS d
-                FROM sig JOIN par ON par.trace_id = sig.trace_id) s) f"""
+    SELECT sig.trace_id, row_idx, t, x, spike, d, d < 0 AS ooo, d >= 0 AND d < 0.001 AS dup, {gap('d')} AS gap, {gap('dn')} AS gap_next, par.si
+    FROM sig JOIN par ON par.trace_id = sig.trace_id"""
 
 
 def _report(d: Dialect) -> str:
@@ -636,12 +635,12 @@ DUCK_SOURCES = {
     FROM (SELECT trace_id, count(*) AS n, coalesce(quantile_cont(d, 0.5) FILTER (WHERE d > 0), 1.0) AS si
           FROM (SELECT trace_id, t - lag(t) OVER (PARTITION BY trace_id ORDER BY row_idx) AS d FROM can) q GROUP BY trace_id) q""",
     "sig": f"""
-    SELECT trace_id, row_idx, t, x, sp, spike, CASE WHEN spike THEN hmed ELSE x END AS clean, med, mad, ls, rs, d2,
+    SELECT trace_id, row_idx, t, x, sp, spike, CASE WHEN spike THEN hmed ELSE x END AS clean, med, mad, ls, rs, d2, d, dn,
            CASE WHEN row_idx >= mb THEN median(abs(coalesce(rs, 0))) OVER ({W} ROWS BETWEEN mb PRECEDING AND 1 PRECEDING) END AS tm,
            CASE WHEN rs > 0.1 THEN 'HEATING' WHEN rs < -0.1 THEN 'COOLING' WHEN rs IS NOT NULL THEN 'STABLE' END AS dir
     FROM (SELECT *, CASE WHEN lag(t) OVER ({W}) IS NOT NULL AND lead(t) OVER ({W}) > lag(t) OVER ({W}) THEN (lead(rs) OVER ({W}) - lag(rs) OVER ({W})) / (lead(t) OVER ({W}) - lag(t) OVER ({W})) END AS d2
           FROM (SELECT *, abs(x - hmed) > 3 * 1.4826 * greatest(list_aggregate(list_transform(hlist, lambda v: abs(v - hmed)), 'median'), 1e-10) AS spike,
-                       list_aggregate(list_transform(wlist, lambda v: abs(v - med)), 'median') AS mad,
+                       list_aggregate(list_transform(wlist, lambda v: abs(v - med)), 'median') AS mad, t - lag(t) OVER ({W}) AS d, lead(t) OVER ({W}) - t AS dn,
                        CASE WHEN count(ls) OVER ({W} {_FRAME}) = count(*) OVER ({W} {_FRAME}) THEN median(ls) OVER ({W} {_FRAME}) END AS rs
                 FROM (SELECT q.*, median(x) OVER ({W} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS hmed, list(x) OVER ({W} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS hlist,
                              median(x) OVER ({W} {_FRAME}) AS med, list(x) OVER ({W} {_FRAME}) AS wlist,
