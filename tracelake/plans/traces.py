@@ -19,11 +19,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _r(columns: str, digits: int = 6) -> str:
-    """Columns rounded for comparison, under their own or the given name."""
+    """Columns rounded for comparison, under their own or the given name.
+
+    Means of readings of three decimals often lie halfway; a nudge, above the noise of sums taken in another order and far
+    below the last digit, rounds those up on either engine.
+    """
     out = []
     for part in columns.split(", "):
         expr, _, name = part.partition(" AS ")
-        out.append(f"round({expr}, {digits}) AS {name or expr}")
+        out.append(f"round({expr} + 1e-{digits + 3}, {digits}) AS {name or expr}")
     return ", ".join(out)
 
 
