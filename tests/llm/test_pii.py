@@ -130,12 +130,12 @@ def test_any_atom_of_any_script_changes(kind, text, told):
             continue
         new = surrogates.replace_atom(kind, atom, gender=surrogates.gender_of(atom) if gender == "?" else gender)
         assert new != atom and any(c.isalnum() for c in new)
-        if kind == "person":
+        if kind == "person" and atom[0].isalpha():
             assert new[0] != atom[0] and new[0] == surrogates.first_letter(surrogates.KEY, atom[0])
 
 
 def test_names_that_once_had_no_other_form():
-    for atom in ("ta", "to", "zu", "ti", "林", "李明", "สมชาย", "محمد", "דוד", "x", "t", "z"):
+    for atom in ("'a", "''ann", "ta", "to", "zu", "ti", "林", "李明", "สมชาย", "محمد", "דוד", "x", "t", "z"):
         assert surrogates.replace_atom("person", atom) != atom
     assert surrogates.replace_atom("email", "at@test.com") != "at@test.com"
     assert surrogates.replace_atom("address", "rue de la") != "rue de la"

@@ -196,6 +196,9 @@ def _latin_word(atom: str, stream: Stream, head: str, gender: str) -> str:
 
 def _word(atom: str, attempt: int, key: bytes, gender: str) -> str:
     """One word of a name; later attempts give longer ones, so that a free one is always found."""
+    lead = next((i for i, c in enumerate(atom) if c.isalpha()), len(atom))
+    if lead:  # signs before the first letter stay
+        return atom[:lead] + (_word(atom[lead:], attempt, key, gender) if lead < len(atom) else "")
     stream = Stream(key, f"person|{attempt}|{gender}|{atom}")
     head = first_letter(key, atom[0])
     if all(regex.match(r"[\p{Latin}\p{M}'’]", c) for c in atom):
