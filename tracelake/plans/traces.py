@@ -13,7 +13,7 @@ from tracelake.operators.signal import canonical_trace, sustained_start, trace_f
 from tracelake.operators.slopes import ramp_slopes
 from tracelake.plans.checks import independent
 from tracelake.plans.stages import DUCK_SOURCES, PROFILED, STAGES, Dialect, doubles, needs, render
-from tracelake.session import fingerprint, table, use_utc, write_shared
+from tracelake.session import fingerprint, still_there, table, use_utc, write_shared
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -158,7 +158,7 @@ class TraceAnalysis:
     def stage(self, name: str, profile: Profile = STANDARD) -> DataFrame:
         """A written stage, made if it is not there yet."""
         key = (name, profile if name in PROFILED else None)
-        if key not in self.made:
+        if key not in self.made or not still_there(self.spark, self.made[key][0]):
             df = self._source(name) if name in DUCK_SOURCES else self.run(STAGES[name](Dialect(duck=False, profile=profile)), profile)
             self.made[key] = (write_shared(df), df.schema)
         path, schema = self.made[key]

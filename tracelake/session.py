@@ -66,6 +66,12 @@ def file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def still_there(spark: SparkSession, path: str) -> bool:
+    """Whether a written table has not been deleted meanwhile."""
+    files, where = file_system(spark, path)
+    return files.exists(where)
+
+
 def fingerprint(spark: SparkSession, path: str) -> tuple:
     """Name, length and time of every file of a table: another tuple once any of them is written anew."""
     files, where = file_system(spark, path)
