@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.llm import encode, mix, pii
-from tracelake.session import fingerprint, table, write_shared
+from tracelake.session import fingerprint, still_there, table, write_shared
 
 Query = Callable[[SparkSession, str], DataFrame]
 _counted: dict[tuple, str] = {}
@@ -16,7 +16,7 @@ _counted: dict[tuple, str] = {}
 def _token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of a folder's documents, made once as long as their files are the same."""
     key = (spark.sparkContext.applicationId, fingerprint(spark, f"{folder}/documents.parquet"))
-    if key not in _counted:
+    if key not in _counted or not still_there(spark, _counted[key]):
         _counted.clear()
         _counted[key] = write_shared(encode.token_counts(table(spark, folder, "documents")))
     return spark.read.parquet(_counted[key])
