@@ -1,6 +1,9 @@
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
+import pytest
+
+from tracelake.operators import stamps as stamps_module
 from tracelake.operators.stamps import normalised_stamps, reading_instants, stamp_dictionary
 
 LOGGERS = [("B", "Europe/Berlin", None), ("S", "Europe/Berlin", "Clock left on standard time all year"), ("U", "Asia/Tokyo", "Clock set to UTC"), ("N", None, None), ("J", "America/St_Johns", "DST automatic")]
@@ -76,3 +79,25 @@ def test_a_second_run_parses_nothing_new(spark, tmp_path):
     first = sorted(reading_instants(*args, dictionary_folder=book).collect())
     kept = spark.read.parquet(book).count()
     assert kept == 3 and sorted(reading_instants(*args, dictionary_folder=book).collect()) == first and spark.read.parquet(book).count() == kept
+
+
+@pytest.mark.parametrize("kept", [False, True])
+def test_nothing_that_grows_is_broadcast(spark, tmp_path, monkeypatch, kept):
+    # all of it is below the threshold here, as packed tables are estimated to be at any size; 16 copies a file are made of it
+    plans = []
+    seen = lambda f: lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df)
+    stamps, files = [("b", k, f"2024-06-01T12:0{k}:00") for k in range(4)], [("b", "B", datetime(2024, 6, 2))]
+    names = ("reading_stamps", "file_metadata", "loggers")
+    for name, df in zip(names, tables(spark, stamps, files), strict=True):
+        df.write.parquet(f"{tmp_path}/{name}")
+    args = [spark.read.parquet(f"{tmp_path}/{name}") for name in names]
+    book = f"{tmp_path}/book" if kept else None
+    if kept:
+        stamp_dictionary(args[0].limit(1).selectExpr("stamp_text AS text", "'UTC' AS rule"), book)
+    for name in ("parse_strings", "materialize"):
+        monkeypatch.setattr(stamps_module, name, seen(getattr(stamps_module, name)))
+    got = reading_instants(*args, dictionary_folder=book)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert sorted(r.utc_ms for r in got.collect()) == [1717236000000 + 60000 * k for k in range(4)]
+    plans.append(got._jdf.queryExecution().executedPlan().toString())  # as it ran
+    assert "SortMergeJoin" in plans[-1] and not [p for p in plans if "Broadcast" in p]

@@ -62,7 +62,8 @@ def salted_join(rows: DataFrame, small: DataFrame, key: str, spread: Column, how
     """Equi-join where one key may hold most rows: rows are spread over salts, the one-row-per-key side repeated.
 
     The repeated side has one short row per key, so the repetition costs salts rows per key and no key stays on
-    one task. Which physical join runs is left to Spark, which knows the sizes.
+    one task. Which physical join runs is left to Spark; its estimate leaves out the repetition and what Parquet packs,
+    so a small side that grows with the data comes with the hint "merge".
     """
     left = rows.withColumn("_salt", F.pmod(F.coalesce(spread, F.lit(0)), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))

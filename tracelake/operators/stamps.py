@@ -166,7 +166,7 @@ def stamp_dictionary(strings: DataFrame, folder: str | None = None) -> DataFrame
     spark = strings.sparkSession
     files, path = file_system(spark, folder)
     if files.exists(path):
-        distinct = distinct.join(spark.read.parquet(folder).select("text", "rule"), ["text", "rule"], "left_anti")
+        distinct = distinct.join(spark.read.parquet(folder).select("text", "rule").hint("merge"), ["text", "rule"], "left_anti")
     parse_strings(distinct).write.mode("append").parquet(folder)
     return spark.read.parquet(folder)
 
@@ -193,7 +193,8 @@ def normalised_stamps(
     is told apart by the straight line of instant over line_no through the file's other stamps (readings are evenly
     spaced); without two such stamps the earlier one holds. Null, empty and junk stamps have no instant; rows
     delivered twice come out twice here (once in reading_instants); null line_no only loses the tie-breaking;
-    empty tables stay empty. Per-file facts are partial aggregates, joined back with the rows of a file spread.
+    empty tables stay empty. Per-file facts are partial aggregates, joined back with the rows of a file spread. Loggers,
+    files and the dictionary all grow with the readings: none is broadcast, however small the estimate of it.
     """
     files = file_metadata.filter("source_file is not null").groupBy("source_file").agg(
         F.min("logger_id").alias("logger_id"), _us(F.min("ingested_at")).alias("ingested_us")
@@ -201,18 +202,18 @@ def normalised_stamps(
     clocks = loggers.filter("logger_id is not null").groupBy("logger_id").agg(
         F.min("tz_name").alias("tz_name"), F.min("clock_note").alias("clock_note")
     )
-    rules = files.join(clocks, "logger_id", "left").select(
+    rules = files.join(clocks.hint("merge"), "logger_id", "left").select(
         "source_file", "ingested_us", zone_rule(F.col("tz_name"), F.col("clock_note")).alias("rule")
     )
     text = F.regexp_replace("stamp_text", r"^[\s\x{00a0}\x{feff}]+|[\s\x{00a0}\x{feff}]+$", "")
     stamps = reading_stamps.select("reading_id", "source_file", "line_no", "stamp_text", text.alias("text"))
-    placed = salted_join(stamps, rules, "source_file", F.xxhash64("reading_id"), "left").withColumn("rule", F.coalesce("rule", F.lit("UTC")))
+    placed = salted_join(stamps, rules.hint("merge"), "source_file", F.xxhash64("reading_id"), "left").withColumn("rule", F.coalesce("rule", F.lit("UTC")))
     book = stamp_dictionary(placed.filter("text is not null"), dictionary_folder)
     for name in ("dmy_us", "dmy_again_us", "mdy_us", "mdy_again_us"):
         inside = F.lit(True) if earliest_us is None else F.col(name) >= earliest_us
         book = book.withColumn(name, F.when(inside & (F.lit(True) if latest_us is None else F.col(name) <= latest_us), F.col(name)))
     # written once: the facts of the files are gathered from it and joined to it
-    read = materialize(placed.join(book, ["text", "rule"], "left").drop("text", "rule"))
+    read = materialize(placed.join(book.hint("merge"), ["text", "rule"], "left").drop("text", "rule"))
     known = F.coalesce("ordered", F.lit(True))
 
     origin = F.lit(ORIGIN_US)
@@ -244,7 +245,7 @@ def normalised_stamps(
     )
     of_order = lambda name: F.when(day_first, F.col(f"dmy_{name}")).otherwise(F.col(f"mdy_{name}"))
     files_told = facts.select("source_file", day_first.alias("day_first"), of_order("slope").alias("slope"), of_order("base").alias("base"))
-    joined = salted_join(read, files_told, "source_file", F.xxhash64("reading_id"), "left")
+    joined = salted_join(read, files_told.hint("merge"), "source_file", F.xxhash64("reading_id"), "left")
     dmy = F.coalesce("day_first", F.lit(True))
     us, again = (F.when(dmy, pick("dmy", k)).otherwise(pick("mdy", k)) for k in (0, 1))
     chosen = joined.select("reading_id", "source_file", "line_no", "stamp_text", "slope", "base", us.alias("us"), again.alias("again_us"))
